@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import fingerprint
+from tracewright.llm import byte_bpe, fingerprint, media, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_fingerprints": fingerprint.op9_fingerprints}
+    return {
+        "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+        "op5_url_filters": url_filter.op5_url_filters,
+        "op7_media_columns": media.op7_media_columns,
+        "op9_fingerprints": fingerprint.op9_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filters": url_filter.OP5_SQL}
