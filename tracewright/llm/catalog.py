@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import byte_bpe, fingerprint, media, url_filter
+from tracewright.llm import byte_bpe, fingerprint, media, packing, quality, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_url_filters": url_filter.op5_url_filters,
+        "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_media_columns": media.op7_media_columns,
+        "op8_secret_scans": secret_scan.op8_secret_scans,
         "op9_fingerprints": fingerprint.op9_fingerprints,
     }
 
