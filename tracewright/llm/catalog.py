@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import byte_bpe, fingerprint, media, packing, quality, secret_scan, url_filter
+from tracewright.llm import byte_bpe, fingerprint, media, near_dedup, packing, quality, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_media_columns": media.op7_media_columns,
         "op8_secret_scans": secret_scan.op8_secret_scans,
         "op9_fingerprints": fingerprint.op9_fingerprints,
+        "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
 
 
