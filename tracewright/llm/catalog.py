@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import byte_bpe, fingerprint, media, near_dedup, packing, quality, secret_scan, url_filter
+from tracewright.llm import byte_bpe, fingerprint, media, near_dedup, packing, quality, secret_scan, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_token_output": token_output.op4_token_output,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_media_columns": media.op7_media_columns,
