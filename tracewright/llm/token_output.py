@@ -18,6 +18,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,19 +75,27 @@ def numbers(slots_: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
     return _walk(slots_, n, seed, range(ROUNDS - 1, -1, -1))
 
 
+@lru_cache(maxsize=1)
+def encoding(path: str):
+    import tiktoken
+
+    ranks = {t: i for i, t in enumerate(byte_bpe.read_ranks(path))}
+    return tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def sequences(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, at, doc_id, piece, start, length, ids): the at-th sequence of the part-th task. No shuffle."""
 
     def rows(batches):
         from pyspark import TaskContext
 
-        bpe, part, at = byte_bpe.tokenizer(path), TaskContext.get().partitionId(), 0
+        encode, part, at = encoding(path).encode_to_numpy, TaskContext.get().partitionId(), 0
         for whole in batches:
             for s in range(0, whole.num_rows, 500):
                 b = whole.slice(s, 500)
                 out = []
-                for doc, packed in zip(b.column(0).to_pylist(), bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])):
-                    ids = np.append(np.frombuffer(packed, dtype="<u4").astype("<u2"), np.array([END], dtype="<u2")).tobytes()
+                for doc, text_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    ids = np.append(encode(text_ or "", disallowed_special=()), END).astype("<u2").tobytes()
                     for i, p in enumerate(range(0, len(ids), STRIDE)):
                         piece = ids[p : p + STRIDE]
                         out.append((part, at, doc, i, p // 2, len(piece) // 2, piece))
