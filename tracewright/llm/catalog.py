@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import byte_bpe, fingerprint, media, near_dedup, packing, quality, secret_scan, token_output, url_filter
+from tracewright.llm import byte_bpe, fingerprint, media, near_dedup, packing, quality, secret_scan, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
         "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_token_output": token_output.op4_token_output,

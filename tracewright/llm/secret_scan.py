@@ -30,6 +30,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Greedy runs, so that asking for the least length at once finds the same matches as dropping shorter ones later.
 ACCESS, HEX, RUN = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 FDR, RANDOM_ALPHA, BLOCK = 0.01, 0.001, 256
 #: Upper bounds of the length classes within which false discoveries are controlled.
 LENGTH_CLASSES = (24, 32, 48)
@@ -146,7 +147,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     folder = shared.work_folder(spark)
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("row", F.monotonically_increasing_id())
     small = base.withColumn("low", F.lower("t"))
-    named = " OR ".join(f"contains(low, '{w}')" for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
+    named = " OR ".join(f"contains(low, '{w}')" for w in NAMES)
     scanned = small.selectExpr(
         "doc_id", "row",
         f"CASE WHEN {named} THEN {_spans('t', ASSIGN)} ELSE {_NONE} END AS assigns",
@@ -190,21 +191,23 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span of a secret replaced by mask; overlapping spans become one mask.
 
-    The text is cut up by code points with DataFrame functions. Rows without a span pass through.
+    The text is cut up by code points with DataFrame functions. Rows that can't have a span pass through; others meet their
+    spans by the text's hash.
     """
-    spark = docs.sparkSession
-    folder = shared.work_folder(spark)
-    rows = shared.staged(docs.withColumn("__row", F.monotonically_increasing_id()), folder, "rows")
-    spans = scan(rows.select("__row", text), "__row", text).where("size(found) > 0").selectExpr("doc_id AS __row", "found AS __found")
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    named = " OR ".join(f"contains(lower(`{text}`), '{w}')" for w in NAMES)
+    maybe = F.expr(f"coalesce({named} OR contains(`{text}`, 'AKIA') OR `{text}` RLIKE {_sql(HEX)} OR `{text}` RLIKE {_sql(RUN)}, false)")  # else no span
+    rows = docs.where(maybe).withColumn("__h", F.xxhash64(value))
+    spans = scan(rows.select("__h", text), "__h", text).where("size(found) > 0").groupBy("doc_id").agg(F.first("found").alias("__found")).withColumnRenamed("doc_id", "__h")  # equal texts, equal spans
     # merge: a span is kept as (s, e) where it starts after all ends before it; its end is that of the last it touches
     merged = """aggregate(__found, CAST(array() AS array<struct<s: bigint, e: bigint>>), (acc, x) ->
       CASE WHEN size(acc) > 0 AND x.s < acc[size(acc) - 1].e
         THEN concat(slice(acc, 1, size(acc) - 1), array(struct(acc[size(acc) - 1].s AS s, greatest(acc[size(acc) - 1].e, x.e) AS e)))
         ELSE concat(acc, array(struct(x.s AS s, x.e AS e))) END)"""
-    out = rows.join(spans, "__row", "left").withColumn("__found", F.expr(f"CASE WHEN __found IS NULL THEN NULL ELSE {merged} END"))
+    out = rows.join(spans, "__h", "left").withColumn("__found", F.expr(f"CASE WHEN __found IS NULL THEN NULL ELSE {merged} END"))
     pieces = f"""concat_ws('', transform(sequence(0, size(__found)), i -> concat(
       CASE WHEN i = 0 THEN '' ELSE '{mask}' END,
       substring(`{text}`, CAST(CASE WHEN i = 0 THEN 1 ELSE __found[i - 1].e + 1 END AS int),
         CAST(CASE WHEN i = size(__found) THEN 2147483647 ELSE __found[i].s - CASE WHEN i = 0 THEN 0 ELSE __found[i - 1].e END END AS int)))))"""
     out = out.withColumn(text, F.expr(f"CASE WHEN __found IS NULL THEN `{text}` ELSE {pieces} END"))
-    return out.select(*docs.columns)
+    return docs.where(~maybe).unionByName(out.select(*docs.columns))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most bits of a filter of wanted ids that is sent to executors; beyond it all rows are shuffled instead, to the same result.
+FILTER_BITS = 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +41,34 @@ def staged(df: DataFrame, folder: str, name: str, compression: str = "zstd") ->
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def filter_of(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A predicate on long columns that holds for all of ids and about one in twenty others; never null.
+
+    Its bits are set on the executors, gathered as words (at most FILTER_BITS / 64 rows) and sent back.
+    """
+    from tracewright.llm.url_filter import Level
+
+    size = 1 << max(10, math.ceil(math.log2(max(1, 8 * ids.count()))))
+    if size > FILTER_BITS:
+        return lambda c: F.lit(True)
+    empty = Level(np.zeros(size // 64, dtype=np.uint64), size, 5)
+
+    def words(batches):
+        for b in batches:
+            p = empty.positions(b.column(0).to_numpy().view(np.uint64)).ravel()
+            bits = np.uint64(1) << (p & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    got = ids.select(column).where(F.col(column).isNotNull()).mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    empty.bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    sent = ids.sparkSession.sparkContext.broadcast(tuple(empty))
+
+    @F.pandas_udf("boolean")
+    def has(keys):
+        import pandas as pd
+
+        return pd.Series(Level(*sent.value).has(keys.to_numpy(np.int64, na_value=-1).view(np.uint64)))
+
+    return lambda c: F.coalesce(has(c.cast("long")), F.lit(False))
