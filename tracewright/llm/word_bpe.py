@@ -15,7 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+from tracewright.llm import byte_bpe
+
 _END = b"\xff"
 #: White space of the library; str.split() also cuts at the four separators 0x1C-0x1F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -24,9 +25,7 @@ _BEYOND = re.compile("[̀-\U0010ffff]")
 
 
 def _byte_of() -> dict[str, int]:
-    from tracewright.llm.byte_bpe import byte_characters
-
-    return {c: b for b, c in enumerate(byte_characters())}
+    return {c: b for b, c in enumerate(byte_bpe.byte_characters())}
 
 
 @lru_cache(maxsize=2)
@@ -73,6 +72,20 @@ def unlisted_tokens(path: str) -> frozenset[bytes]:
     return frozenset(odd)
 
 
+class _Chunks(dict):
+    """Packed ids by chunk, learned at the first look."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        packed = self.learn(chunk)
+        if len(chunk) <= byte_bpe.CACHE_CHARS:
+            self[chunk] = packed
+        return packed
+
+
 class WordBpe:
     """Encoder of whole texts; ids are packed as little-endian unsigned 32-bit integers."""
 
@@ -92,49 +105,33 @@ class WordBpe:
         for token, rank in ranks.items():
             if token in ids and token not in odd:
                 self.packed[rank] = int(ids[token]).to_bytes(4, "little")
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes | None] = {}
-
-    def _piece(self, piece: str) -> bytes | None:
-        parts = [self.packed[r] for r in self.core.encode_single_piece(piece.encode() + _END)]
-        return None if None in parts else b"".join(parts)
-
-    def _learn(self, missing: list[str]) -> None:
-        rest = []
-        for chunk in missing:
-            if _BEYOND.search(chunk):
-                rest.append(chunk)
-                continue
-            packed = []
-            for piece in self.find(chunk.lower()):
-                p = self.pieces.get(piece, 0)
-                if p == 0:
-                    p = self.pieces[piece] = self._piece(piece)
-                if p is None:
-                    rest.append(chunk)
-                    break
-                packed.append(p)
-            else:
-                self.chunks[chunk] = b"".join(packed)
-        if rest:
-            for chunk, e in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
-                self.chunks[chunk] = np.array(e.ids, dtype="<u4").tobytes()
+        self.chunks = _Chunks(self._learn)
+        self.marks = {c: self._piece(c) for c in ".,;:!?)|"}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one pre-token; a TypeError tells that the library has to decide."""
+        return b"".join(map(self.packed.__getitem__, self.core.encode_single_piece(piece.encode() + _END)))
+
+    def _learn(self, chunk: str) -> bytes:
+        try:
+            if chunk.isascii() and chunk.isalpha():
+                return self._piece(chunk.lower())
+            if not _BEYOND.search(chunk):
+                if chunk[-1:] in self.marks and chunk[:-1].isalpha():
+                    return self.chunks[chunk[:-1]] + self.marks[chunk[-1]]
+                return b"".join(map(self._piece, self.find(chunk.lower())))
+        except TypeError:
+            pass
+        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > CACHE_ENTRIES or len(self.pieces) > CACHE_ENTRIES:
-            self.chunks, self.pieces = {}, {}
-        split = [[c for c in _SPACE.split(t) if c] if _SEPARATORS.search(t) else t.split() for t in texts]
-        words: set[str] = set()
-        for parts in split:
-            words.update(parts)
-        missing = [w for w in words if w not in self.chunks]
-        self._learn(missing)
-        get = self.chunks.__getitem__
-        coded = [b"".join(map(get, parts)) for parts in split]
-        for w in missing:
-            if len(w) > CACHE_CHARS:
-                del self.chunks[w]
-        return coded
+        out = []
+        for t in texts:
+            if len(self.chunks) > byte_bpe.CACHE_ENTRIES:
+                self.chunks = _Chunks(self._learn)
+            parts = filter(None, _SPACE.split(t)) if _SEPARATORS.search(t) else t.split()
+            out.append(b"".join(map(self.chunks.__getitem__, parts)))
+        return out
 
 
 @lru_cache(maxsize=2)
