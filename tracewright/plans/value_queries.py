@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracewright.functions import kinds as K
 from tracewright.functions import values as V
 from tracewright.operators import extract
 from tracewright.plans.registry import query, table
@@ -97,3 +98,28 @@ def digit_columns(spark, sf_dir):
     d = names.select(F.posexplode(F.regexp_extract_all("t", F.lit("[0-9]+"), F.lit(0))).alias("col", "v"))
     num, width = F.col("v").try_cast("long"), F.length("v").cast("long")
     return d.groupBy(F.col("col").cast("long").alias("col")).agg(F.count("*").alias("n"), F.min(num).alias("lo"), F.max(num).alias("hi"), F.min(width).alias("min_w"), F.max(width).alias("max_w"))
+
+
+#: Texts of every kind made from an event's columns.
+_TEXTS = {
+    "int_width": "lpad(CAST(event_id AS string), 9, '0')", "signed_int": "CAST(-event_id AS string)", "decimal": "CAST(CAST(value AS decimal(18,3)) AS string)", "hms": "date_format(ts, 'HH:mm:ss')",
+    "day_hms": "concat(lpad(CAST(event_id % 400 AS string), 3, '0'), ' ', date_format(ts, 'HH:mm:ss'))", "month_day_hms": "date_format(ts, 'MM.dd HH:mm:ss')", "iso_datetime": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
+    "packed_datetime": "date_format(ts, 'yyyyMMdd-H:m:s:SSS')", "syslog": "concat(date_format(ts, 'MMM'), ' ', lpad(date_format(ts, 'd'), 2, ' '), date_format(ts, ' HH:mm:ss'))", "apache_time": "concat('[', date_format(ts, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000]')",
+    "colon_duration": "concat(CAST(event_id AS string), ':', date_format(ts, 'ss'))", "hex_width": "lower(lpad(hex(event_id * 7919), 10, '0'))", "hex_pair": "concat('0x', hex(event_id), '/0x', hex(user_id))",
+    "ipv4_width": "concat('10.', event_id % 256, '.', user_id % 256, '.001')", "endpoint": "concat('10.', event_id % 256, '.', user_id % 256, '.1:', 1024 + event_id % 60000)", "byte_phrase": "concat(event_id, ' bytes')",
+    "int_tuple": "concat_ws(',', event_id, user_id, event_id % 7)", "affixed_int": "concat('blk_', -event_id - 1)",
+}
+
+
+@query("kind_roundtrip", "WITH k AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in _TEXTS) + "]) AS kind), n AS (SELECT count(*) AS n FROM events) SELECT kind, n, CASE WHEN kind IN ('decimal', 'signed_int') THEN NULL ELSE n END AS exact, CAST(0 AS BIGINT) AS mismatches FROM k, n")
+def kind_roundtrip(spark, sf_dir):
+    """All typed kinds over texts made from events: how many are exact, and that all come back. Signs and rounding make two kinds' exact counts open."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = None
+    for kind in K.KINDS:
+        rows = e.select(F.expr(_TEXTS[kind.name]).alias("t"))
+        coded = K.coded(rows, kind, "t").withColumn("was", F.col("t"))
+        exact = F.lit(None).cast("long") if kind.name in ("decimal", "signed_int") else F.count("latents")
+        one = K.decoded(coded, kind, "t").agg(F.lit(kind.name).alias("kind"), F.count("*").alias("n"), exact.alias("exact"), F.count_if(~F.col("t").eqNullSafe(F.col("was"))).alias("mismatches"))
+        out = one if out is None else out.unionByName(one)
+    return out
