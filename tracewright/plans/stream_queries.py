@@ -88,10 +88,10 @@ def denum_buckets(spark, sf_dir):
     return d.groupBy("width", "first_digit").agg(F.count("*").alias("n"), F.sum(F.abs("d")).alias("sum_abs_d"))
 
 
-@query("modular_split", f"""WITH l AS (SELECT l_orderkey // 1000 AS block_id, l_orderkey * 10 + l_linenumber AS pos, l_partkey AS v FROM lineitem), p AS (SELECT unnest([10, 30, 60, 100, 300, 600, 1000, 3600, 10000, 65536]) AS period),
+@query("modular_split", f"""WITH l AS (SELECT l_orderkey // 1000 AS block_id, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey AS pos, l_partkey AS v FROM lineitem), p AS (SELECT unnest([10, 30, 60, 100, 300, 600, 1000, 3600, 10000, 65536]) AS period),
 d AS (SELECT period, v % period AS r, v // period - lag(v // period, 1, 0) OVER (PARTITION BY block_id, period ORDER BY pos) AS d FROM l, p), z AS (SELECT period, r, {ZZ.format('d')} AS z FROM d) SELECT CAST(period AS BIGINT) AS period, CAST(sum({VL.format('z')}) AS BIGINT) AS q_bytes, count(DISTINCT r) AS r_distinct FROM z GROUP BY 1""")
 def modular_split(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 1000").alias("block_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("v"))
+    l = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 1000").alias("block_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000000 + F.col("l_partkey")).alias("pos"), F.col("l_partkey").alias("v"))
     return S.modular_costs(l, "v", ["block_id"], "pos")
 
 
