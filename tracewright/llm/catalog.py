@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import byte_bpe, fingerprint, media, near_dedup, packing, quality, secret_scan, suffix_dedup, token_output, url_filter
+from tracewright.llm import byte_bpe, fingerprint, media, near_dedup, near_dedup_sql, packing, quality, secret_scan, suffix_dedup, token_output, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filter.OP5_SQL}
+    return {"op5_url_filters": url_filter.OP5_SQL, "op10_minhash_near_dedup": near_dedup_sql.OP10_SQL}
