@@ -192,8 +192,8 @@ def _neighbours(sorted_suffixes: DataFrame) -> DataFrame:
                 i = np.flatnonzero(other >= 0)
                 j = other[i]
                 r, s = _common(right, nr, i, j), _common(left, nl, i, j)
-                long = r + s + GRAM >= MIN_WORDS
-                i, j, r, s = i[long], j[long], r[long], s[long]
+                whole = (r == REACH) & (s == REACH)  # all windows about the suffix match; others are left to step 3
+                i, j, r, s = i[whole], j[whole], r[whole], s[whole]
                 hit[i] = True
                 out.append((np.full(len(i), REMOVED), gram[i], row[i], at[i] - s, at[i] + GRAM + r))
                 out.append((np.full(len(i), KEPT), gram[j], row[j], at[j] - s, at[j] + GRAM + r))
@@ -253,7 +253,7 @@ def _windows(suffixes: DataFrame) -> DataFrame:
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """One row per document: removed and kept, arrays of (first, last) word numbers, merged where they touch."""
+    """One row per document: removed and kept, arrays of (first, last) word numbers, merged where they touch; kept ones without removed words."""
 
     def join(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
@@ -264,10 +264,23 @@ def _merged(spans: DataFrame) -> DataFrame:
                 out.append((a, b))
         return out
 
+    def without(spans: list[tuple[int, int]], cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out = []
+        for a, b in spans:
+            for c, d in cut:
+                if c < b and d > a:
+                    if c > a:
+                        out.append((a, c))
+                    a = max(a, d)
+            if a < b:
+                out.append((a, b))
+        return out
+
     def rows(batches):
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for b in batches:
-            sets = [[join([(x["first"], x["last"]) for x in xs if x["kind"] == k]) for xs in b.column(1).to_pylist()] for k in (REMOVED, KEPT)]
+            gone, first = ([join([(x["first"], x["last"]) for x in xs if x["kind"] == k]) for xs in b.column(1).to_pylist()] for k in (REMOVED, KEPT))
+            sets = [gone, [without(f, g) for f, g in zip(first, gone)]]
             arrays = [pa.array([[{"first": a, "last": e} for a, e in s] for s in col], kind) for col in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["row", "removed", "kept"])
 
