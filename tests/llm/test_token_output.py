@@ -32,12 +32,14 @@ def test_shards_hold_every_sequence_at_its_slot(spark):
         ids = stored[r.slot]
         record = ids.astype("<u2").tobytes().ljust(to.STRIDE, b"\xff")
         assert len(ids) == r.length and r.record_crc32 == zlib.crc32(record) and (r.shard, r.byte_offset) == (r.slot // 4, r.slot % 4 * to.STRIDE)
-        whole.setdefault(r.doc_id, {})[r.start] = ids
-    for i, t in enumerate(texts):
-        ids = np.concatenate([whole[i][s] for s in sorted(whole[i])])
-        want = [*np.frombuffer(bpe.encode_batch([t or ""])[0], dtype="<u4"), to.END]
-        assert ids.tolist() == want
-    assert sum(r.doc_id == 0 for r in got) == 2
+        for doc, a, e, at in zip(r.doc_ids, r.record_starts, [*r.record_starts[1:], r.length], r.doc_starts):
+            whole.setdefault(doc, []).append((at, ids[a:e].tolist()))
+    want = {i: [*np.frombuffer(bpe.encode_batch([t or ""])[0], dtype="<u4").tolist(), to.END] for i, t in enumerate(texts)}
+    assert set(whole) == set(want)
+    for i, ids in want.items():
+        copies = [x for x in whole[i]] if i else [x for x in whole[i] if x[0] == 0][:1]
+        assert sum((x for _, x in sorted(copies)), []) == ids
+    assert [x for x in whole[0] if x[0] == 0] == [(0, want[0])] * 2
 
 
 def test_no_rows(spark):

@@ -1,15 +1,16 @@
 """Token-id output in training order: a keyed Feistel permutation gives every sequence a global slot.
 
-Documents are encoded once and cut into sequences of at most WIDTH ids (16 bits each, a final end id included). Sequences are
-numbered 0..N-1 by the input's task and the row in it; only the number of sequences per task reaches the driver. A balanced
+Documents are encoded once, each with a final end id, and the ids of a task's documents are cut into sequences of WIDTH ids
+(16 bits each); only a task's last sequence is shorter. Sequences are numbered 0..N-1 by the input's task and their order in
+it; only the number of sequences per task reaches the driver. A balanced
 Feistel network keyed by SEED permutes the next power of four at or above N, and walks its cycle until it is back below N, so that
 every slot is used exactly once and the slot of any number, or the number of any slot, is computed without a table.
 
-A range partition holds the slots of one shard; its task sorts them and writes one file of fixed-stride records: a reader
+A range partition holds the slots of one shard; its task orders them and writes one file of fixed-stride records: a reader
 seeks to slot * stride, so any read is sequential and resumes from a slot number alone. A shard is written under a name of
 its attempt and then renamed, so a task that runs again or twice leaves the same file.
 
-Defined cases: a null text counts as empty and is one sequence of the end id; the rest of a short sequence is padding (PAD);
+Defined cases: a null text counts as empty and is its end id alone; the rest of a short sequence is padding (PAD);
 repeated rows are written each; an empty table writes no shard.
 """
 
@@ -21,7 +22,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 from pyarrow import fs
@@ -83,39 +83,65 @@ def encoding(path: str):
     return tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_SEQUENCE = "part long, at long, length long, ids binary, doc_ids array<long>, record_starts array<long>, doc_starts array<long>"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+
+
 def sequences(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, at, doc_id, piece, start, length, ids): the at-th sequence of the part-th task. No shuffle."""
+    """The at-th sequence of the part-th task, with the documents in it, where they start there and from which of their ids. No shuffle."""
+    names = [x.split()[0] for x in _SEQUENCE.split(", ")]
 
     def rows(batches):
         from pyspark import TaskContext
 
         encode, part, at = encoding(path).encode_to_numpy, TaskContext.get().partitionId(), 0
+        waiting, held = b"", ([], [], [])  # ids of the open sequence and its documents
+
+        def cut() -> tuple:
+            nonlocal waiting
+            row = (part, at, len(waiting) // 2, waiting, *(list(x) for x in held))
+            waiting = b""
+            for x in held:
+                x.clear()
+            return row
+
         for whole in batches:
             for s in range(0, whole.num_rows, 500):
                 b = whole.slice(s, 500)
                 out = []
                 for doc, text_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     ids = np.append(encode(text_ or "", disallowed_special=()), END).astype("<u2").tobytes()
-                    for i, p in enumerate(range(0, len(ids), STRIDE)):
-                        piece = ids[p : p + STRIDE]
-                        out.append((part, at, doc, i, p // 2, len(piece) // 2, piece))
-                        at += 1
-                kinds = [pa.int64()] * 6 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["part", "at", "doc_id", "piece", "start", "length", "ids"])
+                    done = 0
+                    while done < len(ids):
+                        for x, v in zip(held, (doc, len(waiting) // 2, done // 2)):
+                            x.append(v)
+                        taken = ids[done : done + STRIDE - len(waiting)]
+                        waiting, done = waiting + taken, done + len(taken)
+                        if len(waiting) == STRIDE:
+                            out.append(cut())
+                            at += 1
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=names)
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(cut()), _KINDS)], names=names)
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(rows, "part long, at long, doc_id long, piece long, start long, length long, ids binary")
+    return chosen.mapInArrow(rows, _SEQUENCE)
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-_MANIFEST = "doc_id long, piece long, start long, length long, slot long, shard long, byte_offset long, record_crc32 long"
+_MANIFEST = "slot long, shard long, byte_offset long, length long, record_crc32 long, doc_ids array<long>, record_starts array<long>, doc_starts array<long>"
 
 
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, seed: int = SEED, key: str = "doc_id", text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Writes all shards below folder/shards and returns the manifest: a row per sequence."""
+    """Writes all shards below folder/shards and returns the manifest: a row per sequence.
+
+    A task sends all its sequences of one shard as one compressed block, so that the shuffle carries about what the staged
+    table does; the shard's task puts its blocks in order and writes them.
+    """
     spark = docs.sparkSession
     coded = shared.staged(sequences(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), key, text), folder, "sequences")
     counts = coded.groupBy("part").agg(F.count("*").alias("c")).orderBy("part").collect()  # one row a task
@@ -124,45 +150,48 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, seed: in
     parts = np.array([r["part"] for r in counts], dtype=np.int64)
     before = np.concatenate([[0], np.cumsum([r["c"] for r in counts])])[:-1].astype(np.int64)
 
-    @F.pandas_udf("long")
-    def slot_of(part: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series(slots(before[np.searchsorted(parts, part.to_numpy())] + at.to_numpy(), total, seed))
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]  # one task's input: a bounded part of a file
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        slot = slots(before[np.searchsorted(parts, table.column("part").to_numpy())] + table.column("at").to_numpy(), total, seed)
+        order = np.argsort(slot)
+        table = table.drop_columns(["part", "at"]).append_column("slot", pa.array(slot)).take(pa.array(order))
+        shard = slot[order] // per
+        cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+        for a, e in zip(cuts[:-1], cuts[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table.slice(a, e - a).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "block"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [(s, x) for b in batches for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         store, base = fs.FileSystem.from_uri(f"{folder}/shards")
         store.create_dir(base, recursive=True)
-        out, name, shard, wanted = None, "", -1, 0
-
-        def close():
-            if out is not None:
-                out.close()
-                store.move(name, f"{base}/{shard_name(shard)}")
-
-        for b in batches:
-            slot = b.column(0).to_numpy()
-            crcs = []
-            for s, ids in zip(slot.tolist(), b.column(5).to_pylist()):
-                if s // per != shard:
-                    close()
-                    shard = s // per
-                    wanted = shard * per
-                    name = f"{base}/.{shard_name(shard)}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(name)
-                if s != wanted:
-                    raise ValueError(f"slot {s} where {wanted} was due")
-                wanted += 1
-                record = ids.ljust(STRIDE, b"\xff")
-                out.write(record)
-                crcs.append(zlib.crc32(record))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1), b.column(2), b.column(3), b.column(4), b.column(0), pa.array(slot // per), pa.array(slot % per * STRIDE), pa.array(crcs, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "slot", "shard", "byte_offset", "record_crc32"],
-            )
-        close()
-
-    placed = coded.withColumn("slot", slot_of("part", "at")).withColumn("shard", (F.col("slot") / per).cast("long"))
-    ranged = placed.repartitionById(max(1, -(-total // per)), F.col("shard").cast("int")).sortWithinPartitions("slot")
-    return shared.staged(ranged.select("slot", "doc_id", "piece", "start", "length", "ids").mapInArrow(write, _MANIFEST), folder, "manifest")
+        for shard in sorted({s for s, _ in blocks}):
+            t = pa.concat_tables([pa.ipc.open_stream(x).read_all() for s, x in blocks if s == shard])
+            t = t.take(pa.array(np.argsort(t.column("slot").to_numpy())))
+            slot = t.column("slot").to_numpy()
+            if not (slot == np.arange(shard * per, min(total, (shard + 1) * per))).all():
+                raise ValueError(f"shard {shard} doesn't hold each of its slots once")
+            name, crcs = f"{base}/.{shard_name(shard)}-{uuid.uuid4().hex}", []
+            with store.open_output_stream(name) as out:
+                for ids in t.column("ids").to_pylist():
+                    record = ids.ljust(STRIDE, b"\xff")
+                    out.write(record)
+                    crcs.append(zlib.crc32(record))
+            store.move(name, f"{base}/{shard_name(shard)}")
+            t = t.combine_chunks()
+            cols = [pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(slot % per * STRIDE), t.column("length").combine_chunks(), pa.array(crcs, pa.int64())]
+            cols += [t.column(c).combine_chunks() for c in ("doc_ids", "record_starts", "doc_starts")]
+            yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _MANIFEST.split(", ")])
+
+    if not total:
+        return shared.staged(spark.createDataFrame([], _MANIFEST), folder, "manifest")
+    ranged = coded.mapInArrow(block, "shard int, block binary").repartitionById(-(-total // per), F.col("shard"))
+    return shared.staged(ranged.mapInArrow(write, _MANIFEST), folder, "manifest")
 
 
 def read_slots(folder: str, first: int, count: int, shard_rows: int) -> list[np.ndarray]:
@@ -171,7 +200,10 @@ def read_slots(folder: str, first: int, count: int, shard_rows: int) -> list[np.
     found: list[np.ndarray] = []
     while count > 0:
         shard, at = divmod(first, shard_rows)
-        with store.open_input_file(f"{base}/{shard_name(shard)}") as f:
+        name = f"{base}/{shard_name(shard)}"
+        if store.get_file_info(name).type == fs.FileType.NotFound:
+            break  # past the last shard
+        with store.open_input_file(name) as f:
             f.seek(at * STRIDE)
             raw = f.read(min(count, shard_rows - at) * STRIDE)
         if not raw:
