@@ -16,7 +16,17 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 28
 
 
+#: Rows and bytes of text that a Python worker is sent at once: texts are long, and several workers share an executor's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +35,7 @@ def work_folder(spark: SparkSession) -> str:
 
     Only where the session has no such setting (single-process tests), a temporary folder serves and is set as it.
     """
+    bound_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="tracewright-")
