@@ -54,8 +54,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def filter_of(ids: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A predicate on long columns that holds for all of ids and about one in twenty others; never null.
+def wanted_bits(ids: DataFrame, column: str):
+    """A broadcast Bloom filter (url_filter.Level) of the long ids in a column; None where it would pass FILTER_BITS.
 
     Its bits are set on the executors, gathered as words (at most FILTER_BITS / 64 rows) and sent back.
     """
@@ -63,7 +63,7 @@ def filter_of(ids: DataFrame, column: str) -> Callable[[Column], Column]:
 
     size = 1 << max(10, math.ceil(math.log2(max(1, 8 * ids.count()))))
     if size > FILTER_BITS:
-        return lambda c: F.lit(True)
+        return None
     empty = Level(np.zeros(size // 64, dtype=np.uint64), size, 5)
 
     def words(batches):
@@ -74,7 +74,19 @@ def filter_of(ids: DataFrame, column: str) -> Callable[[Column], Column]:
 
     got = ids.select(column).where(F.col(column).isNotNull()).mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     empty.bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    sent = ids.sparkSession.sparkContext.broadcast(tuple(empty))
+    return ids.sparkSession.sparkContext.broadcast(tuple(empty))
+
+
+def filter_of(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A predicate on long columns that holds for all of ids and about one in twenty others; never null.
+
+    Where the next step is Python too, test wanted_bits in it instead: each Python step of a task is a process of its own.
+    """
+    from tracewright.llm.url_filter import Level
+
+    sent = wanted_bits(ids, column)
+    if sent is None:
+        return lambda c: F.lit(True)
 
     @F.pandas_udf("boolean")
     def has(keys):
@@ -83,3 +95,23 @@ def filter_of(ids: DataFrame, column: str) -> Callable[[Column], Column]:
         return pd.Series(Level(*sent.value).has(keys.to_numpy(np.int64, na_value=-1).view(np.uint64)))
 
     return lambda c: F.coalesce(has(c.cast("long")), F.lit(False))
+
+
+def packed_texts(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, packed): compressed texts of the rows whose id is among ids (column doc_id), and of few others, by one Python step."""
+    from tracewright.llm.url_filter import Level
+
+    sent = wanted_bits(ids, "doc_id")
+
+    def pack(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        level = None if sent is None else Level(*sent.value)
+        for b in batches:
+            if level is not None:
+                b = b.filter(pa.array(level.has(b.column(0).to_numpy().view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
+
+    chosen = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return chosen.mapInArrow(pack, "doc_id long, packed binary")

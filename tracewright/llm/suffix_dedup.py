@@ -104,11 +104,6 @@ def _coded(h: np.ndarray) -> np.ndarray:
 def _contexts(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(gram, right, left, row, doc_id, at) for the positions of wanted (row, doc_id, code, at array)."""
 
-    def pack(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([squeeze((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "packed"])
-
     def build(batches):
         loosen = zstandard.ZstdDecompressor().decompress
         for whole in batches:
@@ -131,8 +126,7 @@ def _contexts(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gram", "right", "left", "row", "doc_id", "at"])
 
-    near = shared.filter_of(wanted.select("doc_id"), "doc_id")
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(near(F.col("doc_id"))).mapInArrow(pack, "doc_id long, packed binary")
+    texts = shared.packed_texts(docs, wanted.select("doc_id"), key, text)
     joined = wanted.join(texts, "doc_id").select("row", "doc_id", "code", "at", "packed")
     return joined.mapInArrow(build, "gram long, right binary, left binary, row long, doc_id long, at long").distinct()
 
