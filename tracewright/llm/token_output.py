@@ -35,6 +35,8 @@ WIDTH, END, PAD, SEED, ROUNDS = 512, 50256, 65535, 20_240_601, 4
 STRIDE = 2 * WIDTH
 #: Records of a shard; grows once there would be more than MAX_SHARDS.
 SHARD_ROWS, MAX_SHARDS = 16_384, 50_000
+#: Compression level of the blocks that are shuffled: ids compress by a quarter better than at the lowest.
+BLOCK_LEVEL = 6
 
 
 def half_bits(n: int) -> int:
@@ -162,7 +164,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, seed: in
         cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
         for a, e in zip(cuts[:-1], cuts[1:]):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=BLOCK_LEVEL))) as w:
                 w.write_table(table.slice(a, e - a).combine_chunks())
             yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "block"])
 
