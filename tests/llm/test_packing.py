@@ -86,3 +86,15 @@ def test_crossover_keeps_a_valid_packing_and_evolving_helps():
         assert np.bincount(p, weights=lengths).max() <= 100 and (np.bincount(p) > 0).all()
     best = packing.evolve(lengths, 100, population, 40, rng)
     assert packing.fitness(best, lengths, 100) >= max(packing.fitness(p, lengths, 100) for p in population)
+
+
+def test_pieces_that_fill_no_bin_are_packed(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_ITEMS", 20)  # more cells than one, so that bins with room would go on
+    for lengths, most in (([70] * 100, 100), ([70] * 100 + [50] * 60, 104), ([40] * 100, 38)):
+        items = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+        rows = packing.pack(items, packing.shared.work_folder(spark), 128).collect()
+        assert sorted((r.id, r.length) for r in rows) == list(enumerate(lengths))
+        fill = {}
+        for r in rows:
+            fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+        assert max(fill.values()) <= 128 and len(fill) <= most

@@ -4,8 +4,9 @@ Documents become pieces of at most CAPACITY tokens; a full piece is a sequence o
 cells of about CELL_ITEMS by a hash. In each cell several islands, each a task of its own, evolve packings: a crossover takes
 whole well-filled bins of one parent into the other, drops the bins that hold any of the same pieces, and best-fits the
 pieces so displaced. The islands' elites then migrate into one population per cell, which evolves on. Bins that keep
-noticeable room are opened and their pieces go on to the next, much smaller level, until one cell remains. A cell that
-reaches the bound ceil(sum / capacity) stops early.
+noticeable room are opened and their pieces go on to the next, smaller level, until one cell remains. Where short pieces
+run out and few bins fill up, more room is allowed at that level, so that each level settles a good part of its pieces and
+none is left over. A cell that reaches the bound ceil(sum / capacity) stops early.
 
 Only lengths and keys are shuffled, never texts or ids. Cells are bounded by the hash of unique piece numbers, so no source
 or group of copies can make one large.
@@ -16,8 +17,10 @@ repeated rows are packed each.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -30,8 +33,9 @@ from tracewright.llm import shared, word_bpe
 
 CAPACITY, END_ID = 4096, 1
 CELL_ITEMS, ISLANDS, POPULATION, GENERATIONS = 5000, 3, 3, 10
-#: A bin with more free room than this share of the capacity is opened at the next level.
-ROOM = 1 / 128
+#: A bin with more free room than this share of the capacity is opened at the next level. Where under SETTLED of a level's
+#: pieces are in bins that stay, the room is allowed fourfold, again until enough stay; all do where the room is the capacity.
+ROOM, SETTLED = 1 / 128, 1 / 4
 
 
 def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int, bins: np.ndarray, free: list[int]) -> None:
@@ -137,12 +141,14 @@ _ITEM = "cell long, island int, id long, length long, bin long"
 def pack(items: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
     """A sequence number for every item (columns id, length; ids unique, 0 < length <= capacity): columns id, length, sequence_id.
 
-    A level's cells hold about CELL_ITEMS; each level is written to the folder. The last level has one cell.
+    A level's cells hold about CELL_ITEMS; each level is written to the folder. The last level has one cell, or leaves no
+    bin to open; every level settles at least SETTLED of its pieces, so there is no bound on the levels.
     """
     full = items.where(F.col("length") == capacity).select("id", "length", (-F.col("id") - 1).alias("sequence_id"))
     done, left, base = [full], items.where(F.col("length") < capacity).select("id", "length"), 0
-    for level in range(20):
-        n = left.count()
+    allowed = [min(1.0, ROOM * 4**k) * capacity for k in range(math.ceil(math.log(1 / ROOM, 4)) + 1)]
+    n = left.count()
+    for level in count():
         if not n:
             break
         cells = max(1, round(n / CELL_ITEMS))
@@ -151,13 +157,13 @@ def pack(items: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
         evolved = islands.groupBy("cell", "island").applyInPandas(lambda p: _island(p, capacity)[["cell", "island", "id", "length", "bin"]], _ITEM)
         best = evolved.groupBy("cell").applyInPandas(lambda p: _migrated(p, capacity)[["cell", "island", "id", "length", "bin", "room"]], _ITEM + ", room long")
         best = shared.staged(best, folder, f"level{level}")
-        last = cells == 1
-        kept = best if last else best.where(F.col("room") <= capacity * ROOM)
-        done.append(kept.select("id", "length", ((F.col("cell") + base) * (1 << 24) + F.col("bin")).alias("sequence_id")))
+        room, opened = capacity, 0
+        if cells > 1:
+            over = best.agg(*(F.count_if(F.col("room") > r) for r in allowed)).first()
+            room, opened = next((r, o) for r, o in zip(allowed, over) if o <= (1 - SETTLED) * n)
+        done.append(best.where(F.col("room") <= room).select("id", "length", ((F.col("cell") + base) * (1 << 24) + F.col("bin")).alias("sequence_id")))
         base += cells
-        if last:
-            break
-        left = best.where(F.col("room") > capacity * ROOM).select("id", "length")
+        left, n = best.where(F.col("room") > room).select("id", "length"), opened
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
