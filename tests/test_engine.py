@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import tokens as T
 from tracewright.functions import values as V
-from tracewright.operators import adaptive, extract
+from tracewright.operators import adaptive, extract, templates
 from tracewright.operators import streams as S
 from tracewright.sources import blocks
 from tracewright.streaming import events as SE
@@ -99,3 +99,12 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert policy.events[0] == (2, "attempt")
+
+
+def test_family_examples_go_through_all_lines(spark):
+    hot = [f"a b c d e f g h tail {i}" for i in range(1000, 1900)]
+    lines = [*hot, "a b c d e f g h tell 7", "a b c d e f g h toll 77", "one", "one", "two 1", "two 2"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").repartition(3)
+    for most, want in ((1, {hot[0], "one", "two 1"}), (2, {*hot[:2], "one", "two 1", "two 2"}), (3, {hot[0], *lines[900:902], "one", "two 1"})):
+        got = [r.line for r in templates.family_examples(df, most, 0.15).collect()]
+        assert sorted(got) == sorted(want)

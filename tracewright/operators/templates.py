@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +15,25 @@ def family_topk(lines: DataFrame, most: int, min_support: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("support"), "family")).cast("long"))  # at most `most` rows
 
 
-def family_examples(lines: DataFrame, per_family: int, distance: float, pool: int = 64) -> DataFrame:
+def family_examples(lines: DataFrame, per_family: int, distance: float) -> DataFrame:
     """Up to per_family unlike lines of each family: family, line.
 
-    The aggregate keeps a bounded pool of candidates per family, those of least hash, before the greedy choice.
+    The greedy choice goes through all lines of a family in their order: the least line, then the next one that is farther
+    than the distance from all chosen, and for the last place the next other line of any kind. Each place is a filter and a
+    min with partial results, so no family's lines meet in one task.
     """
-    keyed = lines.select(T.family_key(F.col("line")).alias("family"), "line").distinct()
-    spread = keyed.withColumn("lot", F.pmod(F.xxhash64("line"), F.lit(64)))
-    near = Window.partitionBy("family", "lot").orderBy(F.xxhash64("line"), "line")
-    thin = spread.withColumn("r", F.row_number().over(near)).where(F.col("r") <= max(1, pool // 16)).select("family", "line", T.line_features(F.col("line")).alias("features"))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, set]] = []
-        for line, features in sorted(zip(pdf["line"], map(set, pdf["features"])), key=lambda x: x[0]):
-            if len(kept) < per_family and all(1 - len(features & f) / max(1, len(features | f)) > distance for _, f in kept):
-                kept.append((line, features))
-        return pd.DataFrame({"family": [pdf["family"].iloc[0]] * len(kept), "line": [x for x, _ in kept]})
-
-    return thin.groupBy("family").applyInPandas(choose, "family string, line string")
+    keyed = lines.select(T.family_key(F.col("line")).alias("family"), "line")
+    chosen = keyed.groupBy("family").agg(F.min("line").alias("last")).withColumn("examples", F.array("last"))
+    for place in range(2, per_family + 1):
+        open_ = chosen.where(F.size("examples") == place - 1)  # the others have run out of lines far enough
+        after = keyed.join(open_, "family").where(F.col("line") > F.col("last"))
+        if place < per_family:
+            features = T.line_features(F.col("line"))
+            after = after.where(F.forall("examples", lambda x: 1 - T.jaccard(features, T.line_features(x)) > distance))
+        following = after.groupBy("family").agg(F.min("line").alias("next"))
+        more = F.when(F.col("next").isNotNull(), F.array("next")).otherwise(F.array().cast("array<string>"))
+        chosen = chosen.join(following, "family", "left").select("family", F.coalesce("next", "last").alias("last"), F.concat("examples", more).alias("examples"))
+    return chosen.select("family", F.explode("examples").alias("line"))
 
 
 def alpha_contexts(lines: DataFrame, min_support: int, min_distinct: int, max_top: float) -> DataFrame:
