@@ -33,11 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Only where the session has no such setting (single-process tests), a temporary folder serves and is set as it.
+    Only where a local session has no such setting (single-process tests), a temporary folder serves and is set as it.
     """
     bound_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tracewright/{uuid.uuid4().hex}"
@@ -50,6 +52,16 @@ def staged(df: DataFrame, folder: str, name: str, compression: str = "zstd") ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as keep it apart from every column of df."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        found.append(name)
+    return tuple(found)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -120,9 +120,10 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     if len(h) == 0:
         return np.zeros(0, np.uint64), out_bounds
     with np.errstate(over="ignore"):
-        rolled = np.zeros(max(0, len(h) - k + 1), dtype=np.uint64)
+        runs = max(0, len(h) - k + 1)  # none where the step holds under k words in all
+        rolled = np.zeros(runs, dtype=np.uint64)
         for j in range(k):
-            rolled = rolled * U64(0xC2B2AE3D27D4EB4F) + h[j : len(h) - k + 1 + j]
+            rolled = rolled * U64(0xC2B2AE3D27D4EB4F) + h[j : j + runs]
         rolled = mix(rolled + U64(k))
         row = np.repeat(np.arange(len(count)), many)
         at = b[:-1][row] + (np.arange(out_bounds[-1]) - out_bounds[:-1][row])
