@@ -29,7 +29,8 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, shared.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, column="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    (score,) = shared.fresh(docs, "score")
+    return quality.scored(docs, model, column=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
