@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import suffix_dedup as sd
@@ -48,8 +49,9 @@ def words_of(spans):
     return set().union(*(range(s.first, s.last) for s in spans)) if spans else set()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_all_repeated_windows_are_covered_and_nothing_else(spark, seed):
+@pytest.mark.parametrize("seed, chunk", [(1, sd.CHUNK), (2, 7)])
+def test_all_repeated_windows_are_covered_and_nothing_else(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(sd, "CHUNK", chunk)  # few rows at once: runs go on beyond many edges
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, code string, words int")
     got = {r.doc_id: r for r in sd.repeated_spans(docs).collect()}
@@ -65,7 +67,7 @@ def test_texts_lose_only_later_occurrences(spark):
     new = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     p, a, b, c = new(70), new(40), new(40), new(500)
     rows = [(1, f"{a}\n{p} {b}"), (2, f"{p}"), (5, f"é {p}  {b} end"), (5, f"é {p}  {b} end"), (7, c), (8, None), (None, p), (9, c + " tail")]
-    docs = spark.createDataFrame([(d, t, "z") for d, t in rows], "doc_id long, text string, row string")
+    docs = spark.createDataFrame([(d, t, "z", "c", 1) for d, t in rows], "doc_id long, text string, row string, cuts string, _at int")
     out = sd.deduplicated(docs)
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
@@ -79,3 +81,37 @@ def test_retained_positions_are_the_windows_minima():
         g = rng.integers(0, top, 400).astype(np.uint64)
         want = sorted({i + int(np.argmin(g[i : i + sd.WINDOW])) for i in range(len(g) - sd.WINDOW + 1)})
         assert sd.retained(g).tolist() == want
+
+
+def test_windows_that_neighbours_hide_are_few_and_found():
+    """Chunks of sorted suffixes: the spans and the open windows together are all shared windows, whatever hides them."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for row in range(400):
+        right = rng.integers(1, 3, rng.integers(0, sd.REACH + 1)).astype(np.uint64).cumsum() if row % 3 else np.arange(sd.REACH, dtype=np.uint64)
+        left = np.arange(1, 1 + rng.integers(0, sd.REACH + 1)).astype(np.uint64)
+        left[rng.integers(0, len(left)) if len(left) and row % 2 else len(left) :] = row % 5
+        rows.append((row // 300, sd._coded(right).tobytes(), sd._coded(left).tobytes(), row, 1000 - row // 2, 40))
+    rows.sort()
+    names = ["gram", "right", "left", "row", "doc_id", "at"]
+    t = pa.table({n: pa.array(c) for n, c in zip(names, zip(*rows))})
+    found = sd.compared(t, False, False).to_pandas()
+    windows = {}
+    for g, right, left, row, doc, at in rows:
+        for o in range(sd.REACH + 1):
+            if len(left) >= 8 * o and len(right) >= 8 * (sd.REACH - o):
+                windows.setdefault((g, left[: 8 * o], right[: 8 * (sd.REACH - o)], o), []).append((doc, row, at - o))
+    least, later, unseen = set(), set(), set()
+    for held in windows.values():
+        for doc, row, first in held:
+            if (doc, row) != min(held)[:2]:
+                later.add((row, first))
+            elif (doc, row) != max(held)[:2]:
+                least.add((row, first))
+            else:
+                unseen.add((row, first))
+    covered = {k: {(r, w) for r, f, last in found[found.kind == k][["row", "first", "last"]].itertuples(index=False) for w in range(f, last - M + 1)} for k in (sd.REMOVED, sd.KEPT)}
+    opened = set(found[found.kind == sd.OPEN][["row", "first"]].itertuples(index=False, name=None))
+    assert covered[sd.REMOVED] <= later and later <= covered[sd.REMOVED] | opened
+    assert covered[sd.KEPT] <= later | least and least <= covered[sd.KEPT] | opened
+    assert len(opened) < len(later | least | unseen) / 4  # made to hide as many as can be

@@ -4,15 +4,16 @@ Words are exact, white space between them doesn't count. Suffixes are retained w
 least hash of a window (content-selected minimiser positions): GRAM + WINDOW - 1 = MIN_WORDS, so that every passage of
 MIN_WORDS contains a retained position, the same in all its copies. Then
 1. suffixes whose first GRAM words begin no suffix of another document are dropped, by counts alone;
-2. the rest carry codes of the words to their right and left, are sorted (a range partition of the sparse suffix array), and
-   each is compared with its nearest neighbours of an earlier document on either side; matches are extended right and left;
-3. where no neighbour gives MIN_WORDS though the run has an earlier document, or a run lies across two partitions, all windows
-   of MIN_WORDS about the suffix are compared by hash, so that no match is lost to a neighbour that hides it.
+2. the rest carry the words (64-bit hashes) to their right and left, are sorted (a range partition of the sparse suffix
+   array), and each is compared with its nearest neighbours of an earlier and of a later document on either side; a match is
+   extended right and left and counts where it has MIN_WORDS or more words;
+3. the neighbours give the longest match to the right, and a second order, by the words to the left, the longest one to the
+   left. Only windows of MIN_WORDS that these two lengths allow and no neighbour covers may hide another match, as do those
+   that may match beyond a partition's edge: just these are looked up by hash among the suffixes of their gram.
 A passage's occurrence in the least doc_id is kept, all others are removed. Documents of the same words form a class that is
 compared once; of a class of MIN_WORDS or more words all but the least doc_id are removed whole.
 
-Runs of one gram may hold any share of all rows: they are sorted by range partitions and joined by shuffles, not gathered.
-Word codes have 24 bits: of 17 million differing words one is taken as equal, which may lengthen a match by that word.
+Runs of one gram may hold any share of all rows: they are sorted by range partitions and read in chunks of CHUNK suffixes.
 
 Defined cases: null and empty texts and those under MIN_WORDS words have no spans; rows of the same id and words count as one
 document; repeats within one document are left alone.
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,8 @@ MIN_WORDS, GRAM = 50, 24
 WINDOW = MIN_WORDS - GRAM + 1
 #: Words of context on each side: what a match of MIN_WORDS can need beyond the gram.
 REACH = MIN_WORDS - GRAM
+#: Suffixes compared at once.
+CHUNK = 1 << 15
 
 
 def document_code(hashes: np.ndarray) -> bytes:
@@ -98,7 +102,7 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _coded(h: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray((h >> U64(40)).astype(">u4")).view(np.uint8).reshape(-1, 4)[:, 1:]
+    return np.ascontiguousarray(h.astype(">u8")).view(np.uint8).reshape(-1, 8)
 
 
 def _contexts(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -131,11 +135,11 @@ def _contexts(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
     return joined.mapInArrow(build, "gram long, right binary, left binary, row long, doc_id long, at long").distinct()
 
 
-def _unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word codes in REACH columns and how many of them there are."""
-    n = np.array([len(x) // 3 for x in column], dtype=np.int64)
-    raw = np.frombuffer(b"".join(x.ljust(3 * REACH, b"\0") for x in column), dtype=np.uint8).reshape(len(column), REACH, 3).astype(np.uint32)
-    return raw[:, :, 0] << 16 | raw[:, :, 1] << 8 | raw[:, :, 2], n
+def _unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words in REACH columns, how many of them there are, and their bytes."""
+    n = np.array([len(x) // 8 for x in column], dtype=np.int64)
+    raw = np.frombuffer(b"".join(x.ljust(8 * REACH, b"\0") for x in column), dtype=np.uint8).reshape(len(column), 8 * REACH)
+    return raw.view(">u8").astype(np.uint64), n, raw
 
 
 def _common(codes: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -164,86 +168,126 @@ def nearest_earlier(run: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.
     return before, after
 
 
-_FOUND = "kind int, gram long, row long, first long, last long"
+def window_hashes(gram: np.ndarray, left: np.ndarray, right: np.ndarray, o: int) -> np.ndarray:
+    """Hash of the MIN_WORDS words from o words before the gram on."""
+    with np.errstate(over="ignore"):
+        h = gram.view(np.uint64) + U64(o)
+        for j in range(o):
+            h = h * U64(0xC2B2AE3D27D4EB4F) + left[:, j]
+        for j in range(REACH - o):
+            h = h * U64(0x9E3779B97F4A7C15) + right[:, j]
+        return mix(h)
+
+
+_FOUND = "kind int, gram long, row long, doc_id long, first long, last long"
 REMOVED, KEPT, OPEN = 0, 1, 2
+_STARTS = np.arange(REACH + 1)  # how many words before its gram a window may begin
+
+
+def compared(t: pa.Table, first_edge: bool, last_edge: bool) -> pa.RecordBatch:
+    """Spans that neighbours of earlier (REMOVED) and later documents (KEPT) give, and windows left OPEN (last is their hash).
+
+    The rows are sorted by gram, right, left; an edge tells that the first or last run may go on beyond them.
+    """
+    gram, row, doc, at = (t.column(c).to_numpy() for c in ("gram", "row", "doc_id", "at"))
+    rank = np.lexsort((row, doc))
+    order = np.empty(len(row), np.int64)
+    order[rank] = np.cumsum(np.r_[0, row[rank][1:] != row[rank][:-1]])
+    right, nr, right_raw = _unpacked(t.column("right").to_pylist())
+    left, nl, left_raw = _unpacked(t.column("left").to_pylist())
+    valid = (_STARTS <= nl[:, None]) & (REACH - _STARTS <= nr[:, None])
+    open_, out = np.zeros(valid.shape, dtype=bool), []
+    ways = ((order, REMOVED), (-order, KEPT))
+    covered = [np.zeros(valid.shape, dtype=bool) for _ in ways]
+
+    def extend(way: int, at_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches right and left with the nearest rows, in the order of at_rows; notes what they cover."""
+        far, near = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        for other in nearest_earlier(gram[at_rows], ways[way][0][at_rows]):
+            has = np.flatnonzero(other >= 0)
+            i, j = at_rows[has], at_rows[other[has]]
+            r, s = _common(right, nr, i, j), _common(left, nl, i, j)
+            far[i], near[i] = np.maximum(far[i], r), np.maximum(near[i], s)
+            long = r + s >= REACH
+            i, r, s = i[long], r[long], s[long]
+            covered[way][i] |= (_STARTS >= REACH - r[:, None]) & (_STARTS <= s[:, None])
+            out.append((np.full(len(i), ways[way][1]), gram[i], row[i], doc[i], at[i] - s, at[i] + GRAM + r))
+        return far, near
+
+    runs = np.cumsum(np.r_[0, gram[1:] != gram[:-1]])
+    for way in range(2):
+        far, _ = extend(way, np.arange(len(row)))
+        maybe = valid & (_STARTS >= REACH - far[:, None]) & ~covered[way]
+        again = np.flatnonzero(np.isin(runs, runs[maybe.any(axis=1)]))  # whole runs, ordered by the words to the left
+        if len(again):
+            keys = np.concatenate([_coded(gram[again].view(np.uint64)), left_raw[again], right_raw[again]], axis=1)
+            by_left = again[np.argsort(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel(), kind="stable")]
+            _, near = extend(way, by_left)
+            open_ |= maybe & (_STARTS <= near[:, None]) & ~covered[way]
+    for edge, end in ((first_edge, 0), (last_edge, len(row) - 1)):
+        if edge:  # what lies beyond shares no more words to the right than the outermost row does
+            i = np.flatnonzero(runs == runs[end])
+            beyond = _common(right, nr, i, np.full(len(i), end))
+            open_[i] |= valid[i] & (_STARTS >= REACH - beyond[:, None]) & ~(covered[0][i] & covered[1][i])
+    for o in _STARTS:
+        i = np.flatnonzero(open_[:, o])
+        h = window_hashes(gram[i], left[i], right[i], int(o)).view(np.int64)
+        out.append((np.full(len(i), OPEN), gram[i], row[i], doc[i], at[i] - o, h))
+    k, *rest = (np.concatenate(c) for c in zip(*out))
+    some = pd.DataFrame({"kind": k.astype(np.int32), **dict(zip(("gram", "row", "doc_id", "first", "last"), rest))}).drop_duplicates()
+    return pa.RecordBatch.from_pandas(some, preserve_index=False)
 
 
 def _neighbours(sorted_suffixes: DataFrame) -> DataFrame:
-    """Spans to remove and to keep from neighbours of an earlier document; OPEN rows name the grams left to step 3."""
+    """Step 2 and what it leaves OPEN, by partitions of the sorted suffixes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(t: pa.Table, edge: bool) -> pa.RecordBatch:
-            gram, row, doc, at = (t.column(c).to_numpy() for c in ("gram", "row", "doc_id", "at"))
-            rank = np.lexsort((row, doc))
-            order = np.empty(len(row), np.int64)
-            order[rank] = np.cumsum(np.r_[0, row[rank][1:] != row[rank][:-1]])
-            right, nr = _unpacked(t.column("right").to_pylist())
-            left, nl = _unpacked(t.column("left").to_pylist())
-            before, after = nearest_earlier(gram, order)
-            hit = np.zeros(len(row), dtype=bool)
-            out = []
-            for other in (before, after):
-                i = np.flatnonzero(other >= 0)
-                j = other[i]
-                r, s = _common(right, nr, i, j), _common(left, nl, i, j)
-                whole = (r == REACH) & (s == REACH)  # all windows about the suffix match; others are left to step 3
-                i, j, r, s = i[whole], j[whole], r[whole], s[whole]
-                hit[i] = True
-                out.append((np.full(len(i), REMOVED), gram[i], row[i], at[i] - s, at[i] + GRAM + r))
-                out.append((np.full(len(i), KEPT), gram[j], row[j], at[j] - s, at[j] + GRAM + r))
-            waits = np.unique(gram[~hit & ((before >= 0) | (after >= 0))])
-            if edge:
-                waits = np.unique(np.r_[waits, gram[:1], gram[-1:]])
-            zero = np.zeros(len(waits), np.int64)
-            out.append((np.full(len(waits), OPEN), waits, zero, zero, zero))
-            k, *rest = (np.concatenate(c) for c in zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), *(pa.array(c.astype(np.int64)) for c in rest)], names=["kind", "gram", "row", "first", "last"])
-
         held: list[pa.RecordBatch] = []
-        first = True
+        rows, edge = 0, True
         for b in batches:
-            if not b.num_rows:
+            held, rows = [*held, b] if b.num_rows else held, rows + b.num_rows
+            if rows < CHUNK:
                 continue
-            g = b.column(0).to_numpy()
+            t = pa.Table.from_batches(held)
+            g = t.column("gram").to_numpy()
             cut = int(np.flatnonzero(np.r_[True, g[1:] != g[:-1]])[-1])  # the last run may go on in the next batch
-            if held and (cut or held[0].column(0)[0].as_py() != g[0]):
-                t = pa.Table.from_batches([*held, b.slice(0, cut)])
-                held = []
-                yield found(t, first)
-                first = False
-            elif cut:
-                yield found(pa.Table.from_batches([b.slice(0, cut)]), first)
-                first = False
-            held.append(b.slice(cut))
-        if held:
-            yield found(pa.Table.from_batches(held), True)
+            yield compared(t.slice(0, cut or rows), edge, not cut)
+            held, edge = t.slice(cut).to_batches() if cut else [], not cut
+            rows = rows - cut if cut else 0
+        if rows:
+            yield compared(pa.Table.from_batches(held), edge, True)
 
     return sorted_suffixes.mapInArrow(scan, _FOUND)
 
 
-def _windows(suffixes: DataFrame) -> DataFrame:
-    """Hashes of all windows of MIN_WORDS about each suffix: (hash, row, doc_id, first)."""
+def _looked_up(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Spans of the windows in wanted (columns of _FOUND) that another document has: (kind, row, first, last)."""
+    from tracewright.llm.url_filter import Level
+
+    filters = [shared.wanted_bits(wanted.select(c).distinct(), c) for c in ("gram", "last")]
+    names = [contexts.columns.index(c) for c in ("gram", "row", "doc_id", "right", "left")]
 
     def rows(batches):
+        of_gram, of_window = (None if f is None else Level(*f.value) for f in filters)
         for whole in batches:
-            for s in range(0, whole.num_rows, 2000):
-                b = whole.slice(s, 2000)
-                if not b.num_rows:
-                    continue
-                gram, row, doc, at = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("gram", "row", "doc_id", "at"))
-                right, nr = _unpacked(b.column(b.schema.get_field_index("right")).to_pylist())
-                left, nl = _unpacked(b.column(b.schema.get_field_index("left")).to_pylist())
-                with np.errstate(over="ignore"):
-                    for o in range(REACH + 1):
-                        h = gram.view(np.uint64) + U64(o)
-                        for j in range(o):
-                            h = h * U64(0xC2B2AE3D27D4EB4F) + left[:, j]
-                        for j in range(REACH - o):
-                            h = h * U64(0x9E3779B97F4A7C15) + right[:, j]
-                        ok = (nl >= o) & (nr >= REACH - o)
-                        yield pa.RecordBatch.from_arrays([pa.array(mix(h)[ok].view(np.int64)), pa.array(row[ok]), pa.array(doc[ok]), pa.array(at[ok] - o)], names=["h", "row", "doc_id", "first"])
-
-    return suffixes.mapInArrow(rows, "h long, row long, doc_id long, first long")
+            if of_gram is not None:
+                whole = whole.filter(pa.array(of_gram.has(whole.column(names[0]).to_numpy().view(np.uint64))))
+            if not whole.num_rows:
+                continue
+            gram, row, doc = (whole.column(c).to_numpy() for c in names[:3])
+            (right, nr, _), (left, nl, _) = (_unpacked(whole.column(c).to_pylist()) for c in names[3:])
+            for o in _STARTS:
+                i = np.flatnonzero((nl >= o) & (nr >= REACH - o))
+                h = window_hashes(gram[i], left[i], right[i], int(o))
+                if of_window is not None:
+                    hit = of_window.has(h)
+                    i, h = i[hit], h[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(row[i]), pa.array(doc[i])], names=["h", "row", "doc_id"])
+
+    holder = F.struct("doc_id", "row")
+    ends = contexts.mapInArrow(rows, "h long, row long, doc_id long").groupBy("h").agg(F.min(holder).alias("least"), F.max(holder).alias("most")).where("least <> most")
+    asked = wanted.select(F.col("last").alias("h"), "row", "first").join(ends, "h")
+    return asked.select(F.when(F.col("row") == F.col("least.row"), KEPT).otherwise(REMOVED).alias("kind"), "row", "first", (F.col("first") + MIN_WORDS).alias("last"))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -303,11 +347,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     ranged = contexts.repartitionByRange(n, "gram", "right", "left", "row").sortWithinPartitions("gram", "right", "left", "row")
     found = shared.staged(_neighbours(ranged), folder, "found")
-    rest = contexts.join(found.where(F.col("kind") == OPEN).select("gram").distinct(), "gram", "left_semi")
-    windows = shared.staged(_windows(rest), folder, "windows")
-    many = windows.groupBy("h").agg(F.min(F.struct("doc_id", "row")).alias("least"), F.max(F.struct("doc_id", "row")).alias("most")).where("least <> most")
-    same = windows.join(many.select("h", F.col("least.row").alias("least")), "h")
-    exact = same.select(F.when(F.col("row") == F.col("least"), KEPT).otherwise(REMOVED).alias("kind"), "row", "first", (F.col("first") + MIN_WORDS).alias("last"))
+    exact = _looked_up(contexts, found.where(F.col("kind") == OPEN))
 
     copies = all_docs.join(classes.where("several"), "code").select(F.when(F.col("row") == F.col("least"), KEPT).otherwise(REMOVED).alias("kind"), "row", F.lit(0).cast("long").alias("first"), classes["words"].alias("last"))
     spans = found.where(F.col("kind") != OPEN).select("kind", "row", "first", "last").union(exact).union(copies)
@@ -326,14 +366,15 @@ def cut_words(data: bytes, spans: list[tuple[int, int]], words: Words) -> bytes:
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same rows and columns, their texts without passages that an earlier document holds. Other rows keep their texts."""
-    spans = repeated_spans(docs, key, text).where("size(removed) > 0").groupBy("doc_id").agg(F.collect_list(F.struct("code", "removed")).alias("__cuts"))
-    maybe = shared.filter_of(spans.select("doc_id"), "doc_id")(F.col(key))  # only these rows are shuffled
-    joined = docs.where(maybe).withColumn("__key", F.col(key).cast("long")).join(spans.withColumnRenamed("doc_id", "__key"), "__key", "left").drop("__key")
+    at, cut = shared.fresh(docs, "at", "cuts")
+    spans = repeated_spans(docs, key, text).where("size(removed) > 0").groupBy(F.col("doc_id").alias(at)).agg(F.collect_list(F.struct("code", "removed")).alias(cut))  # one per text of an id
+    maybe = shared.filter_of(spans.select(at), at)(F.col(key))  # only these rows are shuffled
+    joined = docs.where(maybe).withColumn(at, F.col(key).cast("long")).join(spans, at, "left").drop(at)
 
     def rows(batches):
         for b in batches:
-            at, cuts = b.schema.get_field_index(text), b.column(b.schema.get_field_index("__cuts"))
-            texts = b.column(at)
+            of, cuts = b.schema.get_field_index(text), b.column(b.schema.get_field_index(cut))
+            texts = b.column(of)
             if cuts.null_count < len(cuts):
                 changed = texts.to_pylist()
                 for i, found in enumerate(cuts.to_pylist()):
@@ -346,8 +387,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                             if x["code"] == code:
                                 changed[i] = cut_words(data, [(s["first"], s["last"]) for s in x["removed"]], w).decode()
                 texts = pa.array(changed, texts.type)
-            keep = [i for i in range(b.num_columns) if b.schema.names[i] != "__cuts"]
-            yield pa.RecordBatch.from_arrays([texts if i == at else b.column(i) for i in keep], names=[b.schema.names[i] for i in keep])
+            keep = [i for i in range(b.num_columns) if b.schema.names[i] != cut]
+            yield pa.RecordBatch.from_arrays([texts if i == of else b.column(i) for i in keep], names=[b.schema.names[i] for i in keep])
 
     return docs.where(~maybe).unionByName(joined.mapInArrow(rows, docs.schema))
 
