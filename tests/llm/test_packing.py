@@ -12,14 +12,13 @@ PATH = P.path("word_bpe_49k.json")
 TEXTS = [
     "", " \n", "Hello, World's ENDS don't we'll", "naïve CAFÉ 123 １２ ½", "日本語 テキスト 😀👍🏽 Ωσ ΣΑΣ", "a\x1cb \x1d c\x85d e f g", "é ́x İstanbul ǅ", "x" * 3000, "!!! ??? ...,,, <|endoftext|> </w>",
     "the quick brown fox " * 50, "Erheed, ndonan. thnt; êeux ññ çleque Größe straße", "'s ''t 're'", "\x00 \x7f ÿ þ",
+    "hello <|endoftext|> world", "a<|startoftext|>B<|endoftext|>.", "<|ENDOFTEXT|> <| endoftext|> <|endoftext|", "é<|endoftext|>\u3000<|endoftext|>x",
 ]
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_the_librarys(library):
@@ -80,19 +79,49 @@ def test_every_piece_is_packed_once_and_tightly(spark, library, monkeypatch):
 def test_crossover_keeps_a_valid_packing_and_evolving_helps():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 70, 400)
-    population = packing.first_population(lengths, 100, 4, rng, False)
+    population = packing.first_population(lengths, 100, 4, rng)
     child = packing.crossover(population[0], population[1], lengths, 100, rng)
     for p in (*population, child):
         assert np.bincount(p, weights=lengths).max() <= 100 and (np.bincount(p) > 0).all()
     best = packing.evolve(lengths, 100, population, 40, rng)
     assert packing.fitness(best, lengths, 100) >= max(packing.fitness(p, lengths, 100) for p in population)
+    assert best.max() < min(p.max() for p in population)  # crossover saves bins
+
+
+def most_that_fit(lengths, capacity):
+    """The least number of bins, by trying all ways."""
+    best, items = [len(lengths)], sorted(lengths, reverse=True)
+
+    def place(i, free):
+        if len(free) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(free)
+            return
+        for f in {f for f in free if f >= items[i]}:
+            at = free.index(f)
+            place(i + 1, [*free[:at], f - items[i], *free[at + 1 :]])
+        place(i + 1, [*free, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_small_packings_are_the_best_there_are():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        lengths = rng.integers(5, 60, 9)
+        population = packing.first_population(lengths, 100, 4, rng)
+        assert packing.evolve(lengths, 100, population, 40, rng).max() + 1 == most_that_fit(lengths.tolist(), 100)
 
 
 def test_pieces_that_fill_no_bin_are_packed(spark, monkeypatch):
     monkeypatch.setattr(packing, "CELL_ITEMS", 20)  # more cells than one, so that bins with room would go on
     for lengths, most in (([70] * 100, 100), ([70] * 100 + [50] * 60, 104), ([40] * 100, 38)):
         items = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
-        rows = packing.pack(items, packing.shared.work_folder(spark), 128).collect()
+        folder = packing.shared.work_folder(spark)
+        rows = packing.pack(items, folder, 128).collect()
+        assert all(began >= bins for began, bins in packing.saved_by_crossover(folder, spark))
         assert sorted((r.id, r.length) for r in rows) == list(enumerate(lengths))
         fill = {}
         for r in rows:

@@ -1,7 +1,7 @@
 """Best-fit packing by a grouping genetic algorithm over islands with elite migration.
 
 Documents become pieces of at most CAPACITY tokens; a full piece is a sequence of its own. All other pieces are dealt to
-cells of about CELL_ITEMS by a hash. In each cell several islands, each a task of its own, evolve packings: a crossover takes
+cells of about CELL_ITEMS by a hash. In each cell several islands, each a task of its own, evolve packings from random ones: a crossover takes
 whole well-filled bins of one parent into the other, drops the bins that hold any of the same pieces, and best-fits the
 pieces so displaced. The islands' elites then migrate into one population per cell, which evolves on. Bins that keep
 noticeable room are opened and their pieces go on to the next, smaller level, until one cell remains. Where short pieces
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tracewright.llm import shared, word_bpe
 
 CAPACITY, END_ID = 4096, 1
-CELL_ITEMS, ISLANDS, POPULATION, GENERATIONS = 5000, 3, 3, 10
+CELL_ITEMS, ISLANDS, POPULATION, GENERATIONS = 5000, 3, 4, 24
 #: A bin with more free room than this share of the capacity is opened at the next level. Where under SETTLED of a level's
 #: pieces are in bins that stay, the room is allowed fourfold, again until enough stay; all do where the room is the capacity.
 ROOM, SETTLED = 1 / 128, 1 / 4
@@ -104,13 +104,12 @@ def evolve(lengths: np.ndarray, capacity: int, population: list[np.ndarray], gen
     return population[0]
 
 
-def first_population(lengths: np.ndarray, capacity: int, count: int, rng: np.random.Generator, plain: bool) -> list[np.ndarray]:
-    """Best-fit packings: by decreasing length (plain), and of slightly disturbed orders."""
+def first_population(lengths: np.ndarray, capacity: int, count: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Best-fit packings of random orders: none is sorted by length, so what makes bins fewer is crossover."""
     found = []
-    for k in range(count):
-        keys = lengths if plain and k == 0 else lengths * rng.uniform(0.8, 1.2, len(lengths))
+    for _ in range(count):
         bins, free = np.zeros(len(lengths), dtype=np.int64), []
-        best_fit(lengths, np.lexsort((np.arange(len(lengths)), -keys)), capacity, bins, free)
+        best_fit(lengths, rng.permutation(len(lengths)), capacity, bins, free)
         found.append(bins)
     return found
 
@@ -120,8 +119,9 @@ def _island(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     lengths = pdf["length"].to_numpy(np.int64)
     cell, island = int(pdf["cell"].iloc[0]), int(pdf["island"].iloc[0])
     rng = np.random.default_rng([cell & 0xFFFFFFFF, island])
-    population = first_population(lengths, capacity, 1 if island == 0 else POPULATION, rng, island == 0)
-    return pdf.assign(bin=evolve(lengths, capacity, population, GENERATIONS, rng))
+    population = first_population(lengths, capacity, POPULATION, rng)
+    began = min(int(p.max()) + 1 for p in population)
+    return pdf.assign(bin=evolve(lengths, capacity, population, GENERATIONS, rng), began=began)
 
 
 def _migrated(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
@@ -132,17 +132,17 @@ def _migrated(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     rng = np.random.default_rng([int(first["cell"].iloc[0]) & 0xFFFFFFFF, 1 << 20])
     bins = evolve(lengths, capacity, [p["bin"].to_numpy(np.int64) for p in parts], GENERATIONS, rng)
     fill = _fill(bins, lengths)
-    return first.assign(bin=bins, room=(capacity - fill)[bins])
+    return first.assign(bin=bins, room=(capacity - fill)[bins], began=int(pdf["began"].min()))
 
 
-_ITEM = "cell long, island int, id long, length long, bin long"
+_ITEM = "cell long, island int, id long, length long, bin long, began long"
 
 
 def pack(items: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
     """A sequence number for every item (columns id, length; ids unique, 0 < length <= capacity): columns id, length, sequence_id.
 
-    A level's cells hold about CELL_ITEMS; each level is written to the folder. The last level has one cell, or leaves no
-    bin to open; every level settles at least SETTLED of its pieces, so there is no bound on the levels.
+    A level's cells hold about CELL_ITEMS; each level is written to the folder, with the bins of the best first packing of
+    each cell (began) beside those reached. The last level has one cell, or leaves no bin to open; every level settles at least SETTLED of its pieces, so there is no bound on the levels.
     """
     full = items.where(F.col("length") == capacity).select("id", "length", (-F.col("id") - 1).alias("sequence_id"))
     done, left, base = [full], items.where(F.col("length") < capacity).select("id", "length"), 0
@@ -154,8 +154,8 @@ def pack(items: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
         cells = max(1, round(n / CELL_ITEMS))
         dealt = left.withColumn("cell", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(cells)))
         islands = dealt.withColumn("island", F.explode(F.array(*map(F.lit, range(ISLANDS))))).withColumn("bin", F.lit(0).cast("long"))
-        evolved = islands.groupBy("cell", "island").applyInPandas(lambda p: _island(p, capacity)[["cell", "island", "id", "length", "bin"]], _ITEM)
-        best = evolved.groupBy("cell").applyInPandas(lambda p: _migrated(p, capacity)[["cell", "island", "id", "length", "bin", "room"]], _ITEM + ", room long")
+        evolved = islands.groupBy("cell", "island").applyInPandas(lambda p: _island(p, capacity)[["cell", "island", "id", "length", "bin", "began"]], _ITEM)
+        best = evolved.groupBy("cell").applyInPandas(lambda p: _migrated(p, capacity)[["cell", "island", "id", "length", "bin", "began", "room"]], _ITEM + ", room long")
         best = shared.staged(best, folder, f"level{level}")
         room, opened = capacity, 0
         if cells > 1:
@@ -170,6 +170,17 @@ def pack(items: DataFrame, folder: str, capacity: int = CAPACITY) -> DataFrame:
     return out
 
 
+def saved_by_crossover(folder: str, spark: SparkSession) -> list[tuple[int, int]]:
+    """Bins of the best first packings and bins reached, by level, of a pack that wrote to the folder."""
+    found, hadoop = [], spark._jvm.org.apache.hadoop.fs.Path
+    for level in count():
+        path = hadoop(f"{folder}/level{level}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return found
+        cells = spark.read.parquet(f"{folder}/level{level}").groupBy("cell").agg(F.max("began").alias("began"), (F.max("bin") + 1).alias("bins"))
+        found.append(tuple(cells.agg(F.sum("began"), F.sum("bins")).first()))
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of every document's ids with the end id: doc_id, id (unique), piece, start, length, ids_crc32. No shuffle."""
     odd = word_bpe.unlisted_tokens(path)

@@ -4,7 +4,7 @@ The vocabulary lower-cases, drops white space and marks word ends, so a text's i
 chunks in order. A chunk of characters below U+0300 is split here and merged by tiktoken's core, with the word end as a byte
 that UTF-8 never has; any other chunk goes to the library. Tiktoken merges by the joined bytes, the library by listed pairs;
 they agree unless some merge inside a resulting token joins an unlisted pair. Tokens for which that can happen are found once
-(unlisted_tokens), and a chunk that yields one goes to the library too.
+(unlisted_tokens), and a chunk that yields one goes to the library too, as does one that may hold a special token's string.
 """
 
 from __future__ import annotations
@@ -95,7 +95,6 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         ranks, ids, _ = vocabulary(path)
         odd = unlisted_tokens(path) if odd is None else odd
         self.core = tiktoken.Encoding("word", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -116,7 +115,7 @@ class WordBpe:
         try:
             if chunk.isascii() and chunk.isalpha():
                 return self._piece(chunk.lower())
-            if not _BEYOND.search(chunk):
+            if "<|" not in chunk and not _BEYOND.search(chunk):  # else special tokens, or what only the library folds
                 if chunk[-1:] in self.marks and chunk[:-1].isalpha():
                     return self.chunks[chunk[:-1]] + self.marks[chunk[-1]]
                 return b"".join(map(self._piece, self.find(chunk.lower())))
