@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tracewright.llm import url_filter as uf
 
@@ -8,26 +9,34 @@ URLS = [
 ]
 
 
+LISTED = ["spam-farm.example.org", "Casino-Win.example.net", "b.org", None, "", "absent.example"]
+
+
 def brute(url):
     host, path = uf.host_and_path(url)
     fit = [r for r in uf.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     best = max(fit, key=lambda r: len(r.host + r.path), default=None)
-    blocked = any(host == h or host.endswith("." + h) for h in uf.BLOCKED_HOSTS)
+    blocked = any(host == h.lower() or host.endswith("." + h.lower()) for h in LISTED if h)
     return host, path, best and best.host + best.path, best.verdict if best else "block" if blocked else "allow", blocked
 
 
-def test_matches_the_rules(spark):
-    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(URLS + URLS)], "page_id long, url string, host string")
-    got = {r[0]: tuple(r[1:]) for r in uf.judge(pages).collect()}
-    assert got == {i: brute(u) for i, u in enumerate(URLS + URLS)}
-    assert uf.judge(pages.where("false")).count() == 0
+@pytest.mark.parametrize("most", [uf.MAX_FILTER_BITS, 0])  # by the cascade, and by the join that serves longer lists
+def test_matches_the_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(uf, "MAX_FILTER_BITS", most)
+    urls = [*URLS, "http://a.b.org/x", "http://xb.org", "http://casino-win.example.net?x"]
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls + urls)], "page_id long, url string, host string")
+    blocked = spark.createDataFrame([(h,) for h in LISTED], "host string")
+    got = {r[0]: tuple(r[1:]) for r in uf.judge(pages, blocked=blocked).collect()}
+    assert got == {i: brute(u) for i, u in enumerate(urls + urls)}
+    assert uf.judge(pages.where("false"), blocked=blocked).count() == 0
+    assert not any(r.listed for r in uf.judge(pages, blocked=blocked.where("false")).collect())
     assert uf.host_and_path("HTTP://Ab.C/x?y") == ("ab.c", "/x") and uf.host_and_path("a://b?c/d") == ("b", "")
 
 
 def test_cascade_is_exact_on_its_universe(spark, monkeypatch):
     monkeypatch.setattr(uf, "BITS_PER_KEY", 2)  # many false positives, so many levels
-    h = uf._hashed((str(i), "") for i in range(4000)).view(np.int64)
-    universe = spark.createDataFrame([(int(x),) for x in h], "h long")
-    levels = uf.build_cascade(universe, spark.createDataFrame([(int(x),) for x in h[:300]], "h long"))
+    h, g = uf.hashed(str(i) for i in range(4000))
+    rows = [(int(a), int(b)) for a, b in zip(h.view(np.int64), g.view(np.int64))]
+    levels = uf.build_cascade(spark.createDataFrame(rows, "h long, g long"), spark.createDataFrame(rows[:300], "h long, g long"))
     assert len(levels) > 2
-    assert (uf.listed(levels, h.view(np.uint64)) == (np.arange(4000) < 300)).all()
+    assert (uf.listed(levels, h, g) == (np.arange(4000) < 300)).all()
