@@ -1,5 +1,7 @@
 import hashlib
 
+import numpy as np
+
 from tracewright.llm import fingerprint as fp
 
 ROWS = [(5, "wörld " * 40, "x"), (1, None, "y"), (3, "", "z"), (9, "a", None), (7, "The quick brown fox. " * 30, "x"), (8, "The quick brown fox. " * 30, "x"), (2, "日本語のテキスト" * 9, "")]
@@ -34,6 +36,29 @@ def test_repeated_rows_each_have_a_row(spark):
     assert fp.fingerprints(docs).count() == 8
 
 
+def test_hot_keys_and_hot_rows_are_split_and_followed(spark, monkeypatch):
+    monkeypatch.setattr(fp, "SAMPLE", 8)
+    rows = [(7, f"text {i} " * (i % 5)) for i in range(120)] + [(7, "again")] * 60 + [(i, f"own {i}") for i in range(40)] + [(None, "no key")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sent = fp.with_next(docs, "doc_id", "text").collect()
+    assert len({r.bucket for r in sent if r.key == 7}) > 1 and sum(r.tail for r in sent) == len({r.bucket for r in sent})
+    got = fp.fingerprints(docs).collect()
+    assert len(got) == len(rows)
+    own = {}
+    for r in got:
+        own.setdefault(r.fingerprint, []).append(r)
+    again = own[fp.digest(b"again")]
+    assert len(again) == 60 and sum(r.near_next == 1.0 for r in again) >= 59  # each but the last is followed by its copy
+
+
+def test_places_are_those_of_a_sorted_list():
+    rng = np.random.default_rng(1)
+    bounds = np.unique(np.array([tuple(x) for x in rng.integers(-2, 3, (9, 3))], dtype=fp._TRIPLE))
+    k, h, r = rng.integers(-2, 3, (3, 500))
+    want = [sum(tuple(b) <= x for b in bounds.tolist()) for x in zip(k, h, r)]
+    assert fp._places(k, h, r, bounds).tolist() == want
+
+
 def test_likeness_is_bounded_and_orders_edits():
     base = ("Some words repeat and some words differ, number %d. " * 50) % tuple(range(50))
     near, far = base[:-300] + "x" * 300, "zq jv kx " * 300

@@ -76,38 +76,66 @@ def likeness(a: str, b: str) -> float:
     return 1.0 - difference(a, b) / FULL_DIFFERENCE
 
 
+def _places(keys: np.ndarray, hashes: np.ndarray, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bucket of each (key, hash, row): how many of the bounds (a structured array of such triples) are at or below it."""
+    asked = np.empty(len(keys), dtype=bounds.dtype)
+    asked["k"], asked["h"], asked["r"] = keys, hashes, rows
+    order = np.lexsort((rows, hashes, keys))
+    both = np.concatenate([bounds, asked[order]])
+    at = np.lexsort((np.r_[np.zeros(len(bounds), int), np.ones(len(keys), int)], both["r"], both["h"], both["k"]))
+    seen = np.cumsum(at < len(bounds))[at >= len(bounds)]
+    out = np.empty(len(keys), np.int64)
+    out[order[at[at >= len(bounds)] - len(bounds)]] = seen
+    return out
+
+
+_TRIPLE = np.dtype([("k", np.int64), ("h", np.int64), ("r", np.int64)])
+_LEAST = np.iinfo(np.int64).min
+#: Rows looked at for each bucket's bounds.
+SAMPLE = 64
+
+
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Range-partitions docs by key with one shuffle; each bucket also gets the first row of the next non-empty bucket.
+    """Range-partitions docs by key, text hash and row number with one shuffle; each bucket gets the first row of the next one.
 
-    Columns: bucket, tail (the copied row), the key and the text; sorted by them within a partition. Only ids are gathered
-    for the bounds, one per bucket.
+    Columns: bucket, tail (the copied row), key, text, ordered within a bucket, the copy last. So equal keys and repeated rows
+    may lie in several buckets. Bounds come from SAMPLE rows a bucket, those of least hash; they only shape the buckets.
+    Gathered are the sample's numbers and one row a bucket. Row numbers are the scan's, the same whenever it is read.
     """
     spark = docs.sparkSession
     wanted = shared.shuffle_partitions(spark)
-    ids = docs.select(F.col(key).cast("long").alias("k"))
-    bounds = sorted({int(x) for x in ids.approxQuantile("k", [i / wanted for i in range(1, wanted)], 0.1 / wanted)}) if wanted > 1 else []
-
-    @F.pandas_udf("int")
-    def bucket_of(keys):
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(np.array(bounds, np.int64), keys.to_numpy(np.int64, na_value=np.iinfo(np.int64).min), side="right"))
-
-    firsts = ids.groupBy(bucket_of("k").alias("b")).agg(F.min("k").alias("k"), F.count_if(F.col("k").isNull()).alias("nulls")).collect()
-    firsts = sorted((r["b"], None if r["nulls"] else r["k"]) for r in firsts)
-    before = {b: firsts[i - 1][0] for i, (b, _) in enumerate(firsts)}
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("bucket", bucket_of("key"))
-    copies = F.lit(None).cast("int")
-    for b, k in firsts:
-        copies = F.when(F.col("key").eqNullSafe(F.lit(k)) & (F.col("bucket") == b), F.lit(before[b])).otherwise(copies)
-    own = F.struct(F.col("bucket"), F.lit(False).alias("tail"))
-    tail = F.struct(copies.alias("bucket"), F.lit(True).alias("tail"))
-    return (
-        rows.select("key", "text", F.explode(F.when(copies.isNull(), F.array(own)).otherwise(F.array(own, tail))).alias("at"))
-        .select("at.bucket", "at.tail", "key", "text")
-        .repartitionById(max(1, len(bounds) + 1), F.col("bucket"))
-        .sortWithinPartitions("bucket", "tail", "key", "text")
-    )
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LEAST)).alias("k"), F.xxhash64(value).alias("h"), F.monotonically_increasing_id().alias("r"), F.col(key).isNull().alias("no_key"), value.alias("text"))
+    ids = rows.select("k", "h", "r")
+    some = ids.orderBy(F.xxhash64("k", "h", "r")).limit(SAMPLE * wanted).toArrow()
+    sample = np.zeros(some.num_rows, dtype=_TRIPLE)
+    for c in _TRIPLE.names:
+        sample[c] = some.column(c).to_numpy()
+    sample = np.sort(sample)
+    bounds = np.unique(sample[[len(sample) * i // wanted for i in range(1, wanted)]]) if len(sample) else sample
+
+    def place(batches):
+        for b in batches:
+            at = _places(*(b.column(i).to_numpy() for i in range(3)), bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *b.columns], names=["b", *b.schema.names])
+
+    firsts = ids.mapInArrow(place, "b long, k long, h long, r long").groupBy("b").agg(F.min(F.struct("k", "h", "r")).alias("x")).orderBy("b").collect()  # one row a bucket
+    held = np.array([f["b"] for f in firsts], np.int64)
+    heads = np.array([tuple(f["x"]) for f in firsts], dtype=_TRIPLE)
+
+    def dealt(batches):
+        for b in batches:
+            k, h, r = (b.column(i).to_numpy() for i in range(3))
+            bucket = _places(k, h, r, bounds)
+            at = np.searchsorted(held, bucket)
+            copied = np.flatnonzero((heads["k"][at] == k) & (heads["h"][at] == h) & (heads["r"][at] == r))
+            for where, rows_, tail in ((bucket, np.arange(len(k)), False), (held[at[copied] - 1], copied, True)):
+                part = b.take(pa.array(rows_))
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.full(len(rows_), tail)), *part.columns], names=["bucket", "tail", *b.schema.names])
+
+    out = rows.mapInArrow(dealt, "bucket long, tail boolean, k long, h long, r long, no_key boolean, text string")
+    out = out.repartitionById(len(bounds) + 1, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tail", "k", "h", "r")
+    return out.select("bucket", "tail", F.when(~F.col("no_key"), F.col("k")).alias("key"), "text")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -122,12 +150,9 @@ def edited(text: str, following: str) -> str:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _OUT.split(", ")]
     held = None  # the row that waits for its successor: bucket, key, text, digest
-    done = None
     for batch in batches:
         out: list[tuple] = []
         for bucket, tail, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if done == bucket:
-                continue  # further rows of a copied key
             print_ = digest(text.encode())
             if held is not None:
                 _, k, before, print_before = held
@@ -136,16 +161,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 print_edited = digest(raw)
                 out.append((k, len(before), hashlib.sha256(raw).hexdigest(), print_before, print_edited, likeness(print_before, print_edited), likeness(print_before, print_)))
             held = None if tail else (bucket, key, text, print_)
-            done = bucket if tail else None
         if out:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+    if held is not None:
+        raise RuntimeError("a bucket's last row has no successor: the input gave other rows when read again")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Digest of every text and of its edited text, with likenesses to the edited text and to the next document.
 
-    The next document is the next row by (key, text); after the last comes the first. A null key sorts first. One row per
+    The next document is the next row by key, of equal keys by the text's hash; after the last comes the first. A null key sorts first. One row per
     input row; other columns are ignored. An empty table gives an empty result.
     """
     return with_next(docs, key, text).mapInArrow(_compare, _OUT)
