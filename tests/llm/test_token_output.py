@@ -42,6 +42,19 @@ def test_shards_hold_every_sequence_at_its_slot(spark):
     assert [x for x in whole[0] if x[0] == 0] == [(0, want[0])] * 2
 
 
+def test_few_writers_null_ids_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(to, "WRITERS", 2)
+    rows = [(None if i % 3 else i, f"text number {i} " * 90, i, b"x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard long, ids binary").repartition(3)
+    folder = shared.work_folder(spark)
+    got = to.write_shards(docs, folder, shard_rows=3).collect()
+    assert sorted(r.slot for r in got) == list(range(len(got))) and len({r.shard for r in got}) == -(-len(got) // 3) > 4
+    stored = to.read_slots(folder, 0, len(got), 3)
+    assert all(len(stored[r.slot]) == r.length for r in got)
+    assert {d for r in got for d in r.doc_ids} == {None, *range(0, 40, 3)}
+    assert sum(1 for r in got for at in r.doc_starts if at == 0) == 40
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert to.write_shards(docs, shared.work_folder(spark)).count() == 0

@@ -20,10 +20,12 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ from tracewright.llm.words import U64, mix
 
 WIDTH, END, PAD, SEED, ROUNDS = 512, 50256, 65535, 20_240_601, 4
 STRIDE = 2 * WIDTH
-#: Records of a shard; grows once there would be more than MAX_SHARDS.
-SHARD_ROWS, MAX_SHARDS = 16_384, 50_000
+#: Records of a shard, at any size of the input; most tasks that write shards, each one shard after another.
+SHARD_ROWS, WRITERS = 16_384, 20_000
 #: Compression level of the blocks that are shuffled: ids compress by a quarter better than at the lowest.
 BLOCK_LEVEL = 6
 
@@ -135,6 +137,37 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+_LISTS = ("doc_ids", "record_starts", "doc_starts")
+
+
+def to_block(t: pa.Table) -> bytes:
+    """Sequences of one shard, compressed, with four bytes of framing a column only: blocks may hold one sequence."""
+    docs = t.column("doc_ids").combine_chunks()
+    valid = docs.flatten().is_valid().to_numpy(zero_copy_only=False)
+    parts = [t.column("slot").to_numpy().astype("<i8"), t.column("length").to_numpy().astype("<i4"), docs.value_lengths().to_numpy().astype("<i4"), valid.astype("<u1")]
+    parts.append(docs.flatten().fill_null(0).to_numpy().astype("<i8"))
+    parts += [t.column(c).combine_chunks().flatten().to_numpy().astype(k) for c, k in zip(_LISTS[1:], ("<i4", "<i8"))]
+    raw = [x.tobytes() for x in parts] + [b"".join(t.column("ids").to_pylist())]
+    head = np.array([len(t), len(valid)], dtype="<u4").tobytes()
+    return zstandard.ZstdCompressor(level=BLOCK_LEVEL).compress(head + b"".join(raw))
+
+
+def from_block(data: bytes) -> pa.Table:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, m = np.frombuffer(raw, "<u4", 2)
+    at, found = 8, []
+    for kind, many in (("<i8", n), ("<i4", n), ("<i4", n), ("<u1", m), ("<i8", m), ("<i4", m), ("<i8", m)):
+        found.append(np.frombuffer(raw, kind, many, at))
+        at += found[-1].nbytes
+    slot, length, count, valid, *lists = found
+    ends = at + 2 * np.cumsum(length.astype(np.int64))
+    bounds = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+    values = [pa.array(lists[0], pa.int64(), mask=valid == 0), *(pa.array(x.astype(np.int64)) for x in lists[1:])]
+    columns = {"length": pa.array(length.astype(np.int64)), "ids": pa.array([raw[e - 2 * k : e] for e, k in zip(ends.tolist(), length.tolist())], pa.binary())}
+    columns |= {c: pa.ListArray.from_arrays(bounds, v) for c, v in zip(_LISTS, values)}
+    return pa.table({**columns, "slot": pa.array(slot.astype(np.int64))})
+
+
 _MANIFEST = "slot long, shard long, byte_offset long, length long, record_crc32 long, doc_ids array<long>, record_starts array<long>, doc_starts array<long>"
 
 
@@ -142,15 +175,13 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, seed: in
     """Writes all shards below folder/shards and returns the manifest: a row per sequence.
 
     A task sends all its sequences of one shard as one compressed block, so that the shuffle carries about what the staged
-    table does; the shard's task puts its blocks in order and writes them.
+    table does. A writer's blocks are sorted by shard, by a sort that may spill, and it holds those of one shard at a time.
     """
     spark = docs.sparkSession
     coded = shared.staged(sequences(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), key, text), folder, "sequences")
-    counts = coded.groupBy("part").agg(F.count("*").alias("c")).orderBy("part").collect()  # one row a task
-    total = sum(r["c"] for r in counts)
-    per = max(shard_rows, -(-total // MAX_SHARDS))
-    parts = np.array([r["part"] for r in counts], dtype=np.int64)
-    before = np.concatenate([[0], np.cumsum([r["c"] for r in counts])])[:-1].astype(np.int64)
+    counts = coded.groupBy("part").agg(F.count("*").alias("c")).orderBy("part").toArrow()  # one row of two numbers a task
+    parts, each = (counts.column(c).to_numpy() for c in ("part", "c"))
+    total, before = int(each.sum()), np.concatenate([[0], np.cumsum(each)])[:-1].astype(np.int64)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]  # one task's input: a bounded part of a file
@@ -160,23 +191,20 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, seed: in
         slot = slots(before[np.searchsorted(parts, table.column("part").to_numpy())] + table.column("at").to_numpy(), total, seed)
         order = np.argsort(slot)
         table = table.drop_columns(["part", "at"]).append_column("slot", pa.array(slot)).take(pa.array(order))
-        shard = slot[order] // per
+        shard = slot[order] // shard_rows
         cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
         for a, e in zip(cuts[:-1], cuts[1:]):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=BLOCK_LEVEL))) as w:
-                w.write_table(table.slice(a, e - a).combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int64()), pa.array([to_block(table.slice(a, e - a))], pa.binary())], names=["shard", "block"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [(s, x) for b in batches for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         store, base = fs.FileSystem.from_uri(f"{folder}/shards")
         store.create_dir(base, recursive=True)
-        for shard in sorted({s for s, _ in blocks}):
-            t = pa.concat_tables([pa.ipc.open_stream(x).read_all() for s, x in blocks if s == shard])
-            t = t.take(pa.array(np.argsort(t.column("slot").to_numpy())))
+        pairs = ((s, x) for b in batches for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for shard, some in groupby(pairs, key=lambda p: p[0]):
+            t = pa.concat_tables([from_block(x) for _, x in some])  # at most shard_rows records
+            t = t.take(pa.array(np.argsort(t.column("slot").to_numpy()))).combine_chunks()
             slot = t.column("slot").to_numpy()
-            if not (slot == np.arange(shard * per, min(total, (shard + 1) * per))).all():
+            if not np.array_equal(slot, np.arange(shard * shard_rows, min(total, (shard + 1) * shard_rows))):
                 raise ValueError(f"shard {shard} doesn't hold each of its slots once")
             name, crcs = f"{base}/.{shard_name(shard)}-{uuid.uuid4().hex}", []
             with store.open_output_stream(name) as out:
@@ -185,18 +213,20 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, seed: in
                     out.write(record)
                     crcs.append(zlib.crc32(record))
             store.move(name, f"{base}/{shard_name(shard)}")
-            t = t.combine_chunks()
-            cols = [pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(slot % per * STRIDE), t.column("length").combine_chunks(), pa.array(crcs, pa.int64())]
+            cols = [pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(slot % shard_rows * STRIDE), t.column("length").combine_chunks(), pa.array(crcs, pa.int64())]
             cols += [t.column(c).combine_chunks() for c in ("doc_ids", "record_starts", "doc_starts")]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _MANIFEST.split(", ")])
 
     if not total:
         return shared.staged(spark.createDataFrame([], _MANIFEST), folder, "manifest")
-    ranged = coded.mapInArrow(block, "shard int, block binary").repartitionById(-(-total // per), F.col("shard"))
+    shards = -(-total // shard_rows)
+    writers = min(shards, WRITERS)
+    writer = F.expr(f"CAST(shard * {writers} div {shards} AS int)")  # consecutive shards
+    ranged = coded.mapInArrow(block, "shard long, block binary").repartitionById(writers, writer).sortWithinPartitions("shard")
     return shared.staged(ranged.mapInArrow(write, _MANIFEST), folder, "manifest")
 
 
-def read_slots(folder: str, first: int, count: int, shard_rows: int) -> list[np.ndarray]:
+def read_slots(folder: str, first: int, count: int, shard_rows: int = SHARD_ROWS) -> list[np.ndarray]:
     """count sequences from slot first on, padding cut: what a training job that resumes there reads."""
     store, base = fs.FileSystem.from_uri(f"{folder}/shards")
     found: list[np.ndarray] = []
