@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
@@ -50,8 +51,69 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert (got[hit][0].s, got[hit][0].e) == (4, 4 + len(keys[hit].rstrip("")))
 
 
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def battery(run):
+    """Both probabilities of a run, computed plainly."""
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", run):
+        name, text = "hex", run.lower()
+    elif re.fullmatch("[A-Z2-7]+=*", run):
+        name, text = "base32", run.replace("=", "")
+    elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", run):
+        name, text = "base36", run.lower()
+    else:
+        name, text = "base62" if run.isalnum() else "base64", run.replace("=", "").replace("-", "+").replace("_", "/")
+    letters = ss._ALPHABETS[name]
+    a, v = len(letters), [letters.index(c) for c in text]
+    n, cells = len(v), 4 if len(v) < 40 else 8
+    counts = [sum(x * cells // a == k for x in v) for k in range(cells)]
+    chi, df = sum((c - n / cells) ** 2 for c in counts) * cells / n, cells - 1
+    z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [2 * x >= a for x in v]
+    n1 = sum(high)
+    middle = 2 * n1 * (n - n1) / n
+    z_runs = 9 if n1 in (0, n) else abs((sum(x != y for x, y in zip(high, high[1:])) - middle) / math.sqrt(max(1e-9, middle * (middle - 1) / (n - 1))))
+    avg = sum(v) / n
+    lag = sum((x - avg) * (y - avg) for x, y in zip(v, v[1:])) / max(1e-9, sum((x - avg) ** 2 for x in v))
+    ps = [tail(z_chi), min(1, 2 * tail(z_runs)), min(1, 2 * tail(abs(lag * math.sqrt(n) + 1 / math.sqrt(n))))]
+    y = -sum(math.log(max(p, 1e-300)) for p in ps)
+    ratio, mean, dev = ss._model(name)
+    llr = sum(ratio[letters[x]] for x in v)
+    return math.exp(-y) * (1 + y + y * y / 2), tail((llr - n * mean) / (dev * math.sqrt(n)))
+
+
+def rejected(ps, rate):
+    """Benjamini-Hochberg: the largest p that is rejected, or -1."""
+    return max((p for i, p in enumerate(sorted(ps)) if p <= rate * (i + 1) / len(ps)), default=-1)
+
+
+def test_random_spans_match_the_plain_battery(spark):
+    r = random.Random(8)
+    b64 = lambda n: base64.b64encode(r.randbytes(n)).decode()
+    words = "alpha beta gamma delta user admin page view name list item group table index".split()
+    runs = [b64(r.randrange(16, 60)) for _ in range(60)] + ["_".join(r.choices(words, k=5)) + f"_{r.randrange(1000)}" for _ in range(120)]
+    runs += [base64.b32encode(r.randbytes(20)).decode() for _ in range(30)] + ["".join(r.choices("0123456789ABCDEF", k=30)) for _ in range(30)] + ["1a" * 14, "Ab1" * 12]
+    runs = sorted({x for x in runs if len(x) >= 20 and re.search("[0-9]", x) and re.search("[A-Za-z]", x) and not base(x)})
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(runs)], "doc_id long, text string")
+    got = {runs[row.doc_id] for row in ss.scan(docs).collect() if any(x.ord == 3 for x in row.found)}
+    of = {x: battery(x) for x in runs}
+    want, near = set(), set()
+    for low, top in zip((0, *ss.LENGTH_CLASSES), (*ss.LENGTH_CLASSES, 10**9)):
+        some = [x for x in runs if low <= len(x) < top]
+        for slack in (0.9, 1, 1.12):  # probabilities are quantised: runs at a threshold may fall either way
+            uneven, natural = rejected([of[x][0] for x in some], ss.UNEVEN / slack), rejected([of[x][1] for x in some], ss.FDR * slack)
+            hit = {x for x in some if of[x][1] <= natural and of[x][0] > uneven}
+            near |= hit
+            want = want | hit if slack == 1 else want
+    assert got <= near and len(want - got) <= 2 and len(want) > 80
+    names = {x for x in runs if "_" in x and x.islower()}
+    assert len(got & names) <= ss.FDR * len(got) + 1  # the false discoveries
+
+
 def test_masking_keeps_rows_columns_and_the_rest_of_the_text(spark):
-    docs = spark.createDataFrame([(i, t, "q", None) for i, t in enumerate(TEXTS)], "doc_id long, text string, found string, n int")
+    docs = spark.createDataFrame([(i, t, "q", None, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, found string, n int, _h int")
     out = ss.masked(docs)
     assert out.columns == docs.columns
     got = {r.doc_id: r.text for r in out.collect()}

@@ -6,9 +6,11 @@ a digit and a letter, infers the narrowest encoding that the run fits (hex, base
   joined by Fisher's method into the probability of so uneven a run among random ones, and
 - the probability of so random a run among natural identifiers, from the log-likelihood ratio of the encoding's uniform
   distribution against letter frequencies of prose.
-Runs are reported where the natural hypothesis is rejected at a false-discovery rate of FDR by Benjamini-Hochberg steps within
-each class of length (short runs carry less evidence and mustn't ride on long ones), over the whole table, and the battery
-doesn't reject randomness. Ranks come from a histogram of quantised probabilities, so no run leaves its executor.
+Both are controlled for false discoveries by Benjamini-Hochberg steps over the whole table, within each class of length, as
+short runs carry less evidence and mustn't ride on long ones: a run is reported where the natural hypothesis is rejected at a
+rate of FDR and the battery's own probability is not among those rejected at a rate of UNEVEN. (The battery alone tells what
+isn't random; that a run isn't a name needs the second hypothesis, or names too short for the battery would be reported.)
+Ranks come from a histogram of quantised probabilities, so no run leaves its executor.
 
 Positions: the pieces between matches and the matches themselves have known lengths in code points; their prefix sums, taken
 in blocks, give starts and ends.
@@ -31,7 +33,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX, RUN = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-FDR, RANDOM_ALPHA, BLOCK = 0.01, 0.001, 256
+FDR, UNEVEN, BLOCK = 0.01, 0.01, 256
 #: Upper bounds of the length classes within which false discoveries are controlled.
 LENGTH_CLASSES = (24, 32, 48)
 #: Steps of the quantised natural log of a probability.
@@ -128,24 +130,29 @@ def _battery(runs: DataFrame) -> DataFrame:
     return out.drop("letters", "mean", "dev", "ratio", "v", "n", "a", "cells", "chi", "n1", "avg", "changes", "lag", "llr", "z_chi", "z_runs", "z_lag", "z_nat", "y")
 
 
-def _thresholds(tested: DataFrame) -> DataFrame:
-    """Per length class the largest quantised probability that Benjamini-Hochberg rejects (column cut): one row a class."""
-    counts = tested.groupBy("len_class", "grid").agg(F.count("*").alias("c"))  # at most GRID_END + 1 rows a class
+def _quantised(p: str) -> str:
+    """SQL for the quantised -ln of a probability: exp(-grid / GRID) bounds it from above."""
+    return f"CAST(least({GRID_END}, floor(-{GRID} * ln(greatest({p}, 1e-300D)))) AS int)"
+
+
+def _thresholds(tested: DataFrame, grid: str, rate: float, name: str) -> DataFrame:
+    """Per length class the least quantised -ln p that Benjamini-Hochberg rejects (column name): one row a class."""
+    counts = tested.groupBy("len_class", grid).agg(F.count("*").alias("c"))  # at most GRID_END + 1 rows a class
     ranked = counts.selectExpr(
-        "len_class", "grid", "sum(c) OVER (PARTITION BY len_class ORDER BY grid DESC) AS rank", "sum(c) OVER (PARTITION BY len_class) AS tests"
+        "len_class", grid, f"sum(c) OVER (PARTITION BY len_class ORDER BY {grid} DESC) AS rank", "sum(c) OVER (PARTITION BY len_class) AS tests"
     )
-    # grid is floor(-GRID * ln p), so exp(-grid / GRID) bounds each p from above
-    return ranked.where(F.expr(f"exp(-grid / {GRID}D) <= {FDR} * rank / tests")).groupBy("len_class").agg(F.min("grid").alias("cut"))
+    cut = F.min(F.when(F.expr(f"exp(-{grid} / {GRID}D) <= {rate} * rank / tests"), F.col(grid)))
+    return ranked.groupBy("len_class").agg(F.coalesce(cut, F.lit(GRID_END + 1)).alias(name))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans of secrets in every text: doc_id, row (a number of the input row), base and found, arrays of (s, ord, e).
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: str = "long") -> DataFrame:
+    """Spans of secrets in every text: doc_id (the key as kind), row (a number of the input row), base and found, arrays of (s, ord, e).
 
     ord is the index of the span's kind in KINDS; both arrays are sorted by s, then ord; s and e are code points.
     """
     spark = docs.sparkSession
     folder = shared.work_folder(spark)
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("row", F.monotonically_increasing_id())
+    base = docs.select(F.col(key).cast(kind).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("row", F.monotonically_increasing_id())
     small = base.withColumn("low", F.lower("t"))
     named = " OR ".join(f"contains(low, '{w}')" for w in NAMES)
     scanned = small.selectExpr(
@@ -166,10 +173,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     runs = kept.where("size(runs) > 0").select("row", "base", F.explode("runs").alias("x")).where("NOT exists(base, b -> b.s < x.e AND x.s < b.e)")
     classes = " ".join(f"WHEN x.e - x.s < {n} THEN {i}" for i, n in enumerate(LENGTH_CLASSES))
     tested = _battery(runs.selectExpr("row", "x.s AS s", "x.e AS e", "x.m AS run", f"CASE {classes} ELSE {len(LENGTH_CLASSES)} END AS len_class"))
-    tested = tested.withColumn("grid", F.expr(f"CAST(least({GRID_END}, floor(-{GRID} * ln(greatest(p_natural, 1e-300D)))) AS int)"))
-    tested = shared.staged(tested.select("row", "s", "e", "len_class", "grid", "p_random"), folder, "tested")
-    cuts = _thresholds(tested)
-    found = tested.join(F.broadcast(cuts), "len_class").where((F.col("grid") >= F.col("cut")) & (F.col("p_random") >= RANDOM_ALPHA))  # cuts: one row a length class
+    tested = tested.withColumn("natural_grid", F.expr(_quantised("p_natural"))).withColumn("random_grid", F.expr(_quantised("p_random")))
+    tested = shared.staged(tested.select("row", "s", "e", "len_class", "natural_grid", "random_grid"), folder, "tested")
+    cuts = _thresholds(tested, "natural_grid", FDR, "cut").join(_thresholds(tested, "random_grid", UNEVEN, "uneven"), "len_class")
+    found = tested.join(F.broadcast(cuts), "len_class").where("natural_grid >= cut AND random_grid < uneven")  # cuts: one row a length class
     per_row = found.groupBy("row").agg(F.collect_list(F.struct("s", F.lit(3).alias("ord"), "e")).alias("random"))  # as many as the row's own runs
     none = "CAST(array() AS array<struct<s: bigint, ord: int, e: bigint>>)"
     return kept.select("doc_id", "row", "base").join(per_row, "row", "left").selectExpr("doc_id", "row", "base", f"array_sort(concat(base, coalesce(random, {none}))) AS found")
@@ -192,22 +199,23 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str =
     """The same rows and columns with every span of a secret replaced by mask; overlapping spans become one mask.
 
     The text is cut up by code points with DataFrame functions. Rows that can't have a span pass through; others meet their
-    spans by the text's hash.
+    spans by the text's 128-bit digest: equal texts have equal spans.
     """
+    h, found = shared.fresh(docs, "h", "found")
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = " OR ".join(f"contains(lower(`{text}`), '{w}')" for w in NAMES)
     maybe = F.expr(f"coalesce({named} OR contains(`{text}`, 'AKIA') OR `{text}` RLIKE {_sql(HEX)} OR `{text}` RLIKE {_sql(RUN)}, false)")  # else no span
-    rows = docs.where(maybe).withColumn("__h", F.xxhash64(value))
-    spans = scan(rows.select("__h", text), "__h", text).where("size(found) > 0").groupBy("doc_id").agg(F.first("found").alias("__found")).withColumnRenamed("doc_id", "__h")  # equal texts, equal spans
+    rows = docs.where(maybe).withColumn(h, F.md5(value))
+    spans = scan(rows.select(h, text), h, text, "string").where("size(found) > 0").groupBy(F.col("doc_id").alias(h)).agg(F.first("found").alias(found))
     # merge: a span is kept as (s, e) where it starts after all ends before it; its end is that of the last it touches
-    merged = """aggregate(__found, CAST(array() AS array<struct<s: bigint, e: bigint>>), (acc, x) ->
+    merged = f"""aggregate(`{found}`, CAST(array() AS array<struct<s: bigint, e: bigint>>), (acc, x) ->
       CASE WHEN size(acc) > 0 AND x.s < acc[size(acc) - 1].e
         THEN concat(slice(acc, 1, size(acc) - 1), array(struct(acc[size(acc) - 1].s AS s, greatest(acc[size(acc) - 1].e, x.e) AS e)))
         ELSE concat(acc, array(struct(x.s AS s, x.e AS e))) END)"""
-    out = rows.join(spans, "__h", "left").withColumn("__found", F.expr(f"CASE WHEN __found IS NULL THEN NULL ELSE {merged} END"))
-    pieces = f"""concat_ws('', transform(sequence(0, size(__found)), i -> concat(
+    out = rows.join(spans, h, "left").withColumn(found, F.expr(f"CASE WHEN `{found}` IS NULL THEN NULL ELSE {merged} END"))
+    pieces = f"""concat_ws('', transform(sequence(0, size(`{found}`)), i -> concat(
       CASE WHEN i = 0 THEN '' ELSE '{mask}' END,
-      substring(`{text}`, CAST(CASE WHEN i = 0 THEN 1 ELSE __found[i - 1].e + 1 END AS int),
-        CAST(CASE WHEN i = size(__found) THEN 2147483647 ELSE __found[i].s - CASE WHEN i = 0 THEN 0 ELSE __found[i - 1].e END END AS int)))))"""
-    out = out.withColumn(text, F.expr(f"CASE WHEN __found IS NULL THEN `{text}` ELSE {pieces} END"))
+      substring(`{text}`, CAST(CASE WHEN i = 0 THEN 1 ELSE `{found}`[i - 1].e + 1 END AS int),
+        CAST(CASE WHEN i = size(`{found}`) THEN 2147483647 ELSE `{found}`[i].s - CASE WHEN i = 0 THEN 0 ELSE `{found}`[i - 1].e END END AS int)))))"""
+    out = out.withColumn(text, F.expr(f"CASE WHEN `{found}` IS NULL THEN `{text}` ELSE {pieces} END"))
     return docs.where(~maybe).unionByName(out.select(*docs.columns))
