@@ -43,3 +43,23 @@ def test_blocks_do_not_change_the_peaks():
         assert (media.peak_bins(s) == one).all()
     finally:
         media._BLOCK = old
+
+
+def test_peaks_and_pairs_match_a_direct_transform():
+    rng = np.random.default_rng(7)
+    for n in (64, 512, 513, 2000):
+        s = rng.integers(0, 256, n, dtype=np.uint8)
+        frames = max(1, -(-max(0, n - media.FRAME) // media.HOP) + 1)
+        k = np.arange(media.FRAME)
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * k / (media.FRAME - 1))
+        waves = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), k) / media.FRAME)
+        tops = []
+        for f in range(frames):
+            part = [float(s[i]) if i < n else 128.0 for i in range(f * media.HOP, f * media.HOP + media.FRAME)]
+            power = np.abs(waves @ ((np.array(part) - np.mean(part)) * window))
+            peaks = [i for i in range(1, len(power) - 1) if power[i] > power[i - 1] and power[i] >= power[i + 1]]
+            tops.append(sorted(peaks, key=lambda i: -power[i])[: media.PEAKS])
+        bins = media.peak_bins(s)
+        assert [[int(b) for b in row if b] for row in bins] == tops
+        want = sorted(f << 20 | a << 11 | tops[f + d][0] << 2 | d for f in range(frames) for a in tops[f] for d in range(1, media.REACH + 1) if f + d < frames and tops[f + d])
+        assert media.pair_codes(bins).tolist() == want

@@ -59,3 +59,48 @@ def test_features_match_a_plain_count():
     assert list(np.diff(bounds) > 0) == [True, False, False, True]
     one, _ = quality.features(pa.array(["a b a b"]))
     assert (one == flat[: bounds[1]]).all() and len(set(one)) == len(one)
+
+
+def test_descent_and_curve_match_a_plain_solver():
+    rng = np.random.default_rng(5)
+    data = rows(200)
+    flat, bounds = quality.features(pa.array([" ".join(rng.permutation(t.split())) + " the cat" * int(rng.integers(0, 3)) for _, t, _ in data]))
+    xs = [flat[a:e] for a, e in zip(bounds[:-1], bounds[1:])]
+    labels = np.array([k for _, _, k in data])
+    labels[rng.integers(0, 200, 25)] ^= 1  # not separable
+    y = np.where(labels > 0, 1.0, -1.0)
+
+    r = quality.log_count_ratios(xs, y)
+    pos, neg = ({f: sum(f in set(x.tolist()) for x, v in zip(xs, y) if v == sign) for f in set(flat.tolist())} for sign in (1, -1))
+    width = 1 << quality.BITS
+    sums = [sum(c.values()) + width for c in (pos, neg)]
+    assert all(np.isclose(r[f], np.log((pos[f] + 1) / sums[0]) - np.log((neg[f] + 1) / sums[1])) for f in pos)
+
+    used = np.unique(flat)
+    dense = np.zeros((200, len(used) + 1))
+    for i, x in enumerate(xs):
+        dense[i, np.searchsorted(used, x)] = r[x] / (np.linalg.norm(r[x]) or 1.0)
+    dense[:, -1] = 1.0  # the bias
+    top = np.where(y > 0, 100 / (y > 0).sum(), 100 / (y < 0).sum())
+    gram = (dense @ dense.T) * np.outer(y, y)
+    alpha, ahead = np.zeros(200), np.zeros(200)
+    step = 1 / np.linalg.eigvalsh(gram).max()
+    for k in range(20000):  # projected gradient with momentum on the dual
+        new = np.clip(ahead - step * (gram @ ahead - 1), 0, top)
+        ahead, alpha = new + k / (k + 3) * (new - alpha), new
+    best = dense.T @ (alpha * y)
+
+    def loss(w):
+        return 0.5 * w @ w + (top * np.maximum(0, 1 - y * (dense @ w))).sum()
+
+    w, bias = quality.dual_descent(xs, y, r, epochs=400, drawn=1.0)
+    assert np.allclose(np.r_[w[used], bias], best, atol=2e-3) and not np.delete(w, used).any()
+    w, bias = quality.dual_descent(xs, y, r, drawn=1.0)
+    assert loss(np.r_[w[used], bias]) <= 1.05 * loss(best)
+
+    m = rng.normal(y, 1.0)
+    a, b = quality.logistic(m, y)
+    up, down = (y > 0).sum(), (y < 0).sum()
+    t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    gap = 1 / (1 + np.exp(-a * m - b)) - t
+    assert abs(gap @ m) < 1e-3 and abs(gap.sum()) < 1e-3

@@ -9,7 +9,8 @@ The model is fitted on at most MAX_TRAIN labelled rows, those of least hashed do
 rows. Ids, languages and sources are no features, and labels are only read for rows that may be learned from.
 
 Defined cases: null texts count as empty; an empty text has no features and gets the curve's value at the bias; without
-labels of both classes every score is the share of label 1, or 0.5; repeated rows each get a row.
+labels of both classes every score is the share of label 1, or 0.5; repeated rows each get a row; of different texts under
+one id the one of least hash is learned.
 """
 
 from __future__ import annotations
@@ -88,13 +89,13 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.where(counts.sum(axis=0) > 2 * SMOOTH, seen[1] - seen[0], 0.0)
 
 
-def dual_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """L2-regularised hinge loss over unit-length scaled indicators; classes weigh alike. Weights and bias."""
+def dual_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, seed: int = 7, epochs: int = EPOCHS, drawn: float = DRAWN) -> tuple[np.ndarray, float]:
+    """L2-regularised hinge loss over unit-length scaled indicators; classes weigh alike. Weights, drawn to their mean, and bias."""
     values = [r[x] / (np.sqrt((r[x] ** 2).sum()) or 1.0) for x in rows]
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * COST
     square = np.array([(v * v).sum() + 1.0 for v in values])
     w, bias, alpha, rng = np.zeros(len(r)), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for i in rng.permutation(len(y)):
             x, v = rows[i], values[i]
             slope = y[i] * (w[x] @ v + bias) - 1.0
@@ -104,7 +105,7 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, seed: int
                 w[x] += step * v
                 bias += step
                 alpha[i] = new
-    return (1 - DRAWN) * np.abs(w).mean() + DRAWN * w, bias
+    return (1 - drawn) * np.abs(w).mean() + drawn * w, bias
 
 
 def margins(rows: list[np.ndarray], r: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
@@ -158,17 +159,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     k = F.col(key).cast("long")
     chosen = labels.where(learnable(key) & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(k.alias("k")).agg(F.min(F.col(label).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(max_rows)
-    picked = docs.select(k.alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "k")  # at most max_rows rows of two numbers
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    picked = docs.select(k.alias("k"), value.alias("t"), F.xxhash64(value).alias("h")).join(F.broadcast(chosen), "k")  # at most max_rows rows of two numbers
 
     def rows(batches):
         for b in batches:
             for p in steps(b, "t"):
                 flat, bounds = features(p.column(1))
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(2), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))], names=["k", "y", "x"])
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(2), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)), p.column(3)], names=["k", "y", "x", "h"])
 
-    got = picked.select("k", "t", "y").mapInArrow(rows, "k long, y int, x array<int>").toArrow()
+    got = picked.select("k", "t", "y", "h").mapInArrow(rows, "k long, y int, x array<int>, h long").toArrow()
     keys = got.column("k").to_numpy()
-    order = np.unique(keys, return_index=True)[1]  # a repeated id is learned once; the order doesn't depend on tasks
+    sort = np.lexsort((got.column("h").to_numpy(), keys))
+    order = sort[np.unique(keys[sort], return_index=True)[1]]  # a repeated id is learned once, by its text of least hash
     xs = got.column("x")
     return fit([xs[int(i)].values.to_numpy() for i in order], got.column("y").to_numpy()[order])
 
