@@ -108,3 +108,82 @@ def test_family_examples_go_through_all_lines(spark):
     for most, want in ((1, {hot[0], "one", "two 1"}), (2, {*hot[:2], "one", "two 1", "two 2"}), (3, {hot[0], *lines[900:902], "one", "two 1"})):
         got = [r.line for r in templates.family_examples(df, most, 0.15).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_records_are_numbered_across_splits(spark, tmp_path):
+    data = "".join(f"line {i} \x85  é\r\n" if i % 7 == 0 else f"{i}\n" for i in range(5000)).encode() + b"\xff\xfe tail"
+    (tmp_path / "many.log").write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 4000)
+        found = blocks.read_records(spark, f"{tmp_path}/many.log", 1000)
+        assert found.rdd.getNumPartitions() >= 1
+        rows = found.orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.line_no for r in rows] == list(range(5001)) and {r.block_id for r in rows} == set(range(6))
+    assert "".join(r.body + r.ending for r in rows).encode("latin-1") == data
+    from tracewright.sources import sinks
+
+    made = sinks.write_lossless(blocks.read_records(spark, f"{tmp_path}/many.log", 1000), f"file://{tmp_path}/out").orderBy("block").collect()
+    assert b"".join((tmp_path / "out" / r.file).read_bytes() for r in made) == data and sum(r.bytes for r in made) == len(data)
+
+
+def test_sinks_keep_every_value(spark, tmp_path):
+    from tracewright.sources import sinks
+
+    rows = spark.createDataFrame([(1, "a,b"), (2, 'q"uo\nte'), (3, ""), (4, None), (5, "\\N "), (6, " x ")], "i long, t string")
+    want = sorted(tuple(r) for r in rows.collect() if r.t is not None)
+    sinks.write_csv(rows, f"{tmp_path}/csv")
+    got = sinks.read_csv(rows, f"{tmp_path}/csv").collect()
+    assert sorted(tuple(r) for r in got if r.t is not None) == want and [r.i for r in got if r.t is None] == [4]
+    sinks.write_json(rows, f"{tmp_path}/json")
+    assert sorted(tuple(r) for r in spark.read.schema(rows.schema).json(f"{tmp_path}/json").collect() if r.t is not None) == want
+    assert [r.i for r in sinks.in_order(rows.orderBy("t"), "i")] == [1, 2, 3, 4, 5, 6]
+    packed = sinks.chunks(spark.createDataFrame([(1, b"\x00\xff" * 500), (2, b"")], "block_id long, raw binary"))
+    assert all(r.exact for r in sinks.unpacked(packed).collect())
+    assert {r.codec: r.members for r in sinks.inventory(packed).collect()} == dict.fromkeys(sinks.CODECS, 2)
+
+
+def test_plan_texts_are_checked_and_rewritten():
+    import re
+
+    from tracewright.operators import programs as P
+
+    for sample in ("ab-12 x.9", "(é)", "A1\t"):
+        for letters in (True, False):
+            assert re.fullmatch(P.sample_pattern(sample, letters), sample)
+    assert re.fullmatch(P.sample_pattern("a1", flexible=True), "b123")
+    assert P.replacement_is_safe("x{placeholder}{group2}") and not P.replacement_is_safe("{group1}") and not P.replacement_is_safe("{placeholder}{os}")
+    assert P.broadened(r"(\d{2}) [0-9]{4}x") == (r"(\d+)[ ]+[0-9]+x", "broadened")
+    assert P.broadened(r"(\d{2},)+")[1] == "repeated group" and P.broadened("(?x) a b")[1] == "verbose" and P.broadened("[ ]a +")[1] == "unchanged"
+    item = {"kind": "open_function", "store_group": 0, "pattern": r"\d{2}:\d{2}", "replacement": "<{placeholder}>", "program": {"op": "expression", "group_regex": r"(\d{2})"}}
+    new, what = P.lowered(item)
+    assert what == "lowered" and new["pattern"] == r"\d+:\d+" and new["program"]["prefix"] == "<" and item["pattern"] == r"\d{2}:\d{2}"
+    assert P.lowered({**item, "replacement": "{placeholder}{placeholder}"})[1].startswith("no single") and P.lowered({**item, "store_group": 1})[1].startswith("no numeric")
+    assert P.check_program("g0 * 2 + int(g1, 16)", {"g0", "g1"}) == []
+    for bad in ("g0 ** 9", "__import__('os')", "g0 / 2", "g9", "g0 << g1", "int(g0, 3)", "open(g0)", "(lambda: 1)()", "g0.x", "1 if g0 else 2", "'a'", "1 +", "g0" + "+1" * 300):
+        assert P.check_program(bad, {"g0", "g1"}), bad
+    assert P.is_identity({"a": "g1", "b": " g2"}, 2) and not P.is_identity({"a": "g1 * 2"}, 1)
+
+
+def test_values_survive_skeletons_of_any_kind(spark):
+    from tracewright.operators import skeletons as K
+
+    texts = ["a1b02.50c", "a9b3c", "", "x", "007", "1.2.3", "12345678901234567890", "9" * 18 + ".5", "é1", "a1b02.50c", "0.0", "00.10z"]
+    rows = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts * 3)], "block_id long, pos long, text string")
+    shaped = K.shape_columns(rows, "block_id", "pos", "text")
+    back = {r.pos: r.restored for r in K.restored(shaped, "block_id", "pos").collect()}
+    assert back == dict(enumerate(texts * 3))
+
+
+def test_shared_pools_settle_on_long_chains(spark):
+    import random
+
+    from tracewright.operators import relations
+
+    names = [f"s{i:03d}" for i in range(40)]
+    random.Random(2).shuffle(names)
+    rows = [(n, f"v{i + d}") for i, n in enumerate(names) for d in (0, 1)] + [("t1", "w"), ("t2", "w"), ("u", "x")]
+    got = {r.stream: (r.pool, r.pool_size) for r in relations.shared_pools(spark.createDataFrame(rows, "stream string, value string")).collect()}
+    assert got == {**{n: ("s000", 41) for n in names}, "t1": ("t1", 1), "t2": ("t1", 1), "u": ("u", 1)}

@@ -7,6 +7,7 @@ Latents are LONG arrays, so that every kind can be stored, differenced and count
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -75,6 +76,18 @@ def _day_number(y: Column, m: Column, d: Column) -> Column:
 
 _DAY = lambda n: F.date_from_unix_date(n.cast("int"))
 
+WEEKDAYS, UNITS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"), ("B", "KB", "MB", "GB", "TB")
+
+
+def _unit(u: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, UNITS)), u).cast("long")
+
+
+def _weekday(w: Column) -> Column:
+    """As written, which may not be the date's own."""
+    return F.array_position(F.array(*map(F.lit, WEEKDAYS)), w).cast("long")
+
+
 KINDS: tuple[Kind, ...] = (
     _kind("int_width", "([0-9]{1,18})", 1, lambda a: [_long(a), F.length(a).cast("long")], lambda x: _pad(x[0], x[1])),
     _kind("signed_int", "(-?(?:0|[1-9][0-9]{0,17}))", 1, lambda a: [_long(a)], lambda x: x[0].cast("string")),
@@ -93,6 +106,11 @@ KINDS: tuple[Kind, ...] = (
     _kind("endpoint", "([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3})[.]([0-9]{1,3}):([0-9]{1,5})", 5, lambda a, b, c, d, p: [((_long(a) * 256 + _long(b)) * 256 + _long(c)) * 256 + _long(d), _long(p)], lambda x: F.concat(V.ipv4_text(x[0]), F.lit(":"), x[1].cast("string"))),
     _kind("byte_phrase", "([0-9]{1,15}) bytes(?: [(]([0-9.]+ [KM]B)[)])?", 2, lambda n, s: [_long(n), F.when(s == "", 0).otherwise(1).cast("long")], lambda x: F.concat(x[0].cast("string"), F.lit(" bytes"), F.when(x[1] == 1, F.concat(F.lit(" ("), V.byte_phrase_suffix(x[0]), F.lit(")"))).otherwise(""))),
     _kind("int_tuple", "([0-9]{1,17}),([0-9]{1,17}),([0-9]{1,17})", 3, lambda *p: [*map(_long, p)], lambda x: F.concat_ws(",", *[v.cast("string") for v in x])),
+    _kind("asctime_year", f"({'|'.join(WEEKDAYS)}) ([A-Z][a-z]{{2}})( +)([0-9]{{1,2}}) {_TIME} ([0-9]{{4}})", 8, lambda w, mo, sp, d, h, m, s, y: [_day_number(y, V._month_case(mo, tuple(range(1, 13))), d) * 86400 + _seconds(h, m, s), F.length(sp) * 4 + F.length(d).cast("long"), _weekday(w)], lambda x: F.concat(F.element_at(F.array(*map(F.lit, WEEKDAYS)), x[2].cast("int")), F.lit(" "), _month_names(F.month(_DAY(F.floor(x[0] / 86400)))), F.repeat(F.lit(" "), F.floor(x[1] / 4).cast("int")), _pad(F.dayofmonth(_DAY(F.floor(x[0] / 86400))), x[1] % 4), F.lit(" "), V.hms_text(F.pmod(x[0], F.lit(86400).cast("long"))), F.lit(" "), F.date_format(_DAY(F.floor(x[0] / 86400)), "yyyy"))),
+    _kind("yy_datetime", "([0-9]{2})/([0-9]{2})/([0-9]{2}) " + _TIME, 6, lambda y, mo, d, h, m, s: [_day_number(F.concat(F.when(y < "69", "20").otherwise("19"), y), mo, d) * 86400 + _seconds(h, m, s)], lambda x: F.concat(F.date_format(_DAY(F.floor(x[0] / 86400)), "yy/MM/dd"), F.lit(" "), V.hms_text(F.pmod(x[0], F.lit(86400).cast("long"))))),
+    _kind("iso_millis", "([0-9]{4})-([0-9]{2})-([0-9]{2}) " + _TIME + "([,.])([0-9]{3})", 8, lambda y, mo, d, h, m, s, p, f: [(_day_number(y, mo, d) * 86400 + _seconds(h, m, s)) * 1000 + _long(f), F.when(p == ",", 0).otherwise(1).cast("long")], lambda x: F.concat(_DAY(F.floor(x[0] / 86400000)).cast("string"), F.lit(" "), V.hms_text(F.floor(F.pmod(x[0], F.lit(86400000).cast("long")) / 1000)), F.when(x[1] == 0, ",").otherwise("."), _pad(F.pmod(x[0], F.lit(1000).cast("long")), 3))),
+    _kind("scaled_unit", "([0-9]{1,16})[.]([0-9]) (B|KB|MB|GB|TB)", 3, lambda a, b, u: [_long(a) * 10 + _long(b), _unit(u)], lambda x: F.concat(F.floor(x[0] / 10).cast("string"), F.lit("."), (x[0] % 10).cast("string"), F.lit(" "), F.element_at(F.array(*map(F.lit, UNITS)), x[1].cast("int")))),
+    _kind("integer_unit", "([0-9]{1,17})(MB|GB)", 2, lambda a, u: [_long(a), _unit(u)], lambda x: F.concat(x[0].cast("string"), F.element_at(F.array(*map(F.lit, UNITS)), x[1].cast("int")))),
     _kind("affixed_int", "(?:blk_)(-?[0-9]{1,18})", 1, lambda a: [_long(a)], lambda x: F.concat(F.lit("blk_"), x[0].cast("string"))),
 )
 
@@ -114,10 +132,31 @@ def decoded(rows: DataFrame, kind: Kind, column: str) -> DataFrame:
     return rows.withColumn(column, F.coalesce("exception", F.when(F.col("latents").isNotNull(), inverse)))
 
 
+AT_ONCE = 6
+
+
+def measured(texts: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Kinds over columns of texts: kind, n, exact (values held exactly), first (sum of their first latent), mismatches after the inverse.
+
+    A pass takes AT_ONCE kinds: the code of more doesn't compile into one method.
+    """
+    chosen = [(i, k, columns[k.name]) for i, k in enumerate(KINDS) if k.name in columns]
+    if len(chosen) > AT_ONCE:
+        names = [k.name for _, k, _ in chosen]
+        passes = [measured(texts, {n: columns[n] for n in names[a : a + AT_ONCE]}) for a in range(0, len(names), AT_ONCE)]
+        return reduce(DataFrame.unionByName, passes)
+    texts = texts.select(*dict.fromkeys(c for _, _, c in chosen))
+    coded_ = texts.select("*", *[F.when(F.col(c).rlike(k.pattern), F.array(*[x.cast("long") for x in k.forward(F.col(c))])).alias(f"l{i}") for i, k, c in chosen])
+    back = coded_.select("*", *[k.inverse([F.get(f"l{i}", F.lit(j)) for j in range(len(k.forward(F.lit(""))))]).alias(f"b{i}") for i, k, _ in chosen])
+    flags = back.select("*", *[F.coalesce(F.forall(f"l{i}", lambda x: x.isNotNull()) & (F.col(f"b{i}") == F.col(c)), F.lit(False)).alias(f"x{i}") for i, _, c in chosen])
+    restored = lambda i, c: F.when(F.col(f"x{i}"), F.col(f"b{i}")).otherwise(F.col(c))
+    sums = [
+        F.struct(F.lit(k.name).alias("kind"), F.count("*").alias("n"), F.count_if(f"x{i}").alias("exact"), F.sum(F.when(F.col(f"x{i}"), F.get(f"l{i}", F.lit(0)))).alias("first"), F.count_if(~restored(i, c).eqNullSafe(F.col(c))).alias("mismatches")).alias(f"s{i}")
+        for i, k, c in chosen
+    ]
+    return flags.agg(*sums).select(F.explode(F.array(*[F.col(f"s{i}") for i, _, _ in chosen])).alias("s")).select("s.*")
+
+
 def best_kind(values: DataFrame, column: str) -> DataFrame:
-    """How many values each kind holds exactly: kind, n, exact; the basis of a choice."""
-    out = None
-    for k in KINDS:
-        one = coded(values, k, column).agg(F.lit(k.name).alias("kind"), F.count("*").alias("n"), F.count("latents").alias("exact"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """How many values each kind holds exactly: kind, n, exact; the basis of a choice. Few passes over the values."""
+    return measured(values.select(column), {k.name: column for k in KINDS}).select("kind", "n", "exact")

@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 def varints(values: np.ndarray) -> bytes:
     """Non-negative integers in little-endian groups of seven bits."""
     v = np.asarray(values, dtype=np.uint64)
-    out = bytearray()
-    for x in v.tolist():
-        while x > 127:
-            out.append(x & 127 | 128)
-            x >>= 7
-        out.append(x)
-    return bytes(out)
+    if not len(v):
+        return b""
+    groups = v[:, None] >> (np.arange(10, dtype=np.uint64) * np.uint64(7))  # at most ten groups of seven bits
+    n = np.maximum(1, (groups > 0).sum(axis=1))
+    place = np.arange(10)
+    out = (groups & np.uint64(127)).astype(np.uint8) | np.where(place < n[:, None] - 1, 128, 0).astype(np.uint8)
+    return out[place < n[:, None]].tobytes()
 
 
 def unvarints(payload: bytes) -> np.ndarray:

@@ -9,9 +9,12 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions import signatures as G
+from tracewright.functions import tokens as T
+
 
 class Field(NamedTuple):
     tag: str
@@ -111,3 +114,22 @@ def overlap_pairs(spans: DataFrame, key: str = "line_no", rule: str = "rule", sh
     sizes = spans.groupBy(rule).agg(F.countDistinct(key).alias("n"))
     out = hits.join(sizes.select(F.col(rule).alias("rule_a"), F.col("n").alias("na")), "rule_a").join(sizes.select(F.col(rule).alias("rule_b"), F.col("n").alias("nb")), "rule_b")
     return out.where(F.col("hits") >= share * F.least("na", "nb")).select("rule_a", "rule_b", "hits")
+
+
+def routed_tokens(lines: DataFrame) -> DataFrame:
+    """Variable tokens of lines with the tag of their stream: (t, tag). A token is variable where it has a digit or a special character.
+
+    Integers of one or two digits go by length; longer ones by the last other token before them in the line, their length and
+    their place; mixed ones by that token and their special characters.
+    """
+    numbered = lines.select("line").withColumn("row", F.monotonically_increasing_id())  # before lines are taken apart
+    words = numbered.select("row", F.posexplode(T.words(F.col("line"))).alias("p", "t"))
+    marked = words.withColumn("v", F.col("t").rlike("[0-9]") | F.col("t").rlike("[^0-9A-Za-z<>]"))
+    before = Window.partitionBy("row").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one line
+    each = marked.withColumn("ctx", F.coalesce(F.last(F.when(~F.col("v"), F.col("t")), ignorenulls=True).over(before), F.lit(""))).where("v")
+    t, ctx = F.col("t"), F.concat(F.lit("CTX"), F.col("ctx"), F.lit("|STR"))
+    tag = (
+        F.when(t.rlike("^[0-9]{1,2}$"), F.concat(F.lit("LEN"), F.length(t).cast("string"))).when(t.rlike("^[0-9]+$"), F.concat(ctx, G.regex_tag(t), F.lit("|IDX"), (F.col("p") + 1).cast("string")))
+        .otherwise(F.concat(ctx, F.lit("_"), G.special_characters(t)))
+    )
+    return each.select("t", tag.alias("tag"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import values as V
 from tracewright.operators import streams as S
+from tracewright.operators.lineage import cut
 
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -38,24 +39,29 @@ def separator_columns(rows: DataFrame, text: str, separators: str = "_.~") -> Da
     return split.unionByName(routed.where(~F.coalesce(fits, F.lit(False))).select(F.lit(None).cast("int").alias("col"), F.col(text).alias("value")))
 
 
-def shared_pools(values: DataFrame, rounds: int = 20) -> DataFrame:
+def shared_pools(values: DataFrame) -> DataFrame:
     """Streams that share any value, directly or through others, get one pool: stream, pool (least stream), pool_size.
 
     values has a row per (stream, value). Links run from each value to its least stream, so a common value makes no pairs; the
-    label rounds work on distinct (stream, stream) links, of which there are few.
+    rounds work on distinct (stream, stream) links, of which there are few. A round lowers each link's end to that end's own
+    least neighbour and links all lesser neighbours of a stream with the least; it goes on until nothing moves.
     """
     distinct = values.distinct()
     least = distinct.groupBy("value").agg(F.min("stream").alias("least"))
-    links = distinct.join(least, "value").where("stream <> least").select("stream", "least").distinct()
-    both = links.select(F.col("stream").alias("a"), F.col("least").alias("b")).union(links.select("least", "stream")).persist()
-    labels = distinct.select("stream").distinct().withColumn("pool", F.col("stream"))
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["stream"]).groupBy("a").agg(F.min("pool").alias("near"))
-        new = labels.join(near, labels["stream"] == near["a"], "left").select("stream", F.least("pool", F.coalesce("near", "pool")).alias("pool"), F.col("pool").alias("old")).persist()
-        settled = new.where("pool <> old").isEmpty()
-        labels = new.select("stream", "pool")
-        if settled:
-            break
+    down = cut(distinct.join(least, "value").where("stream <> least").select(F.col("stream").alias("a"), F.col("least").alias("b")).distinct())
+    moved = True
+    while moved:
+        ends = down.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("low"))
+        large = down.join(ends, F.col("b") == F.col("n"), "left").select("a", F.coalesce("low", "b").alias("b"), F.col("low").isNotNull().alias("moved"))
+        large = cut(large.groupBy("a", "b").agg(F.max("moved").alias("moved")))
+        ends = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("low"))
+        apart = F.col("b") != F.col("low")
+        small = large.join(ends, F.col("a") == F.col("n")).select(F.when(apart, F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b"), (F.col("moved") | apart).alias("moved"))
+        small = cut(small.groupBy("a", "b").agg(F.max("moved").alias("moved")))
+        moved = not small.where("moved").isEmpty()
+        down = small.select("a", "b")
+    streams = distinct.select("stream").distinct()
+    labels = streams.join(down, F.col("stream") == F.col("a"), "left").select("stream", F.coalesce("b", "stream").alias("pool"))
     sizes = distinct.join(labels, "stream").groupBy("pool").agg(F.countDistinct("value").alias("pool_size"))
     return labels.join(sizes, "pool").select("stream", "pool", "pool_size")
 

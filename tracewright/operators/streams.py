@@ -99,9 +99,9 @@ PERIODS = (10, 30, 60, 100, 300, 600, 1000, 3600, 10000, 65536)
 
 def modular_costs(rows: DataFrame, v: str, keys: list[str], pos: str) -> DataFrame:
     """Cost of splitting a stream by every period: period, q_bytes (varints of zigzag quotient deltas), r_distinct."""
-    each = rows.select(*keys, pos, v, F.explode(F.array(*[F.lit(p).cast("long") for p in PERIODS])).alias("period"))
-    each = each.withColumn("q", F.floor(F.col(v) / F.col("period"))).withColumn("r", F.pmod(F.col(v), F.col("period")))
-    each = each.withColumn("d", delta("q", [*keys, "period"], pos))
+    led = rows.select(F.col(v).alias("v"), F.lag(v, 1, 0).over(ordered(keys, pos)).alias("before"))  # one sort for all periods
+    each = led.withColumn("period", F.explode(F.array(*[F.lit(p).cast("long") for p in PERIODS])))
+    each = each.select("period", F.pmod("v", "period").alias("r"), (F.floor(F.col("v") / F.col("period")) - F.floor(F.col("before") / F.col("period"))).alias("d"))
     return each.groupBy("period").agg(F.sum(V.varint_length(V.zigzag(F.col("d")))).alias("q_bytes"), F.countDistinct("r").alias("r_distinct"))
 
 

@@ -38,13 +38,10 @@ def family_examples(lines: DataFrame, per_family: int, distance: float) -> DataF
 
 def alpha_contexts(lines: DataFrame, min_support: int, min_distinct: int, max_top: float) -> DataFrame:
     """Contexts (left and right neighbour) whose letter tokens vary: support, distinct_n, top_cnt."""
-    tokens = lines.withColumn("t", T.words(F.col("line")))
-    low = F.transform("t", lambda x: F.lower(x))
-    around = tokens.select(
-        F.explode(
-            F.transform(F.col("t"), lambda x, i: F.struct(x.alias("t"), F.when(i > 0, F.get(low, i - 1)).otherwise("<BOL>").alias("left"), F.coalesce(F.get(low, i + 1), F.lit("<EOL>")).alias("right")))
-        ).alias("x")
-    ).select("x.*")
+    low = lines.select(T.words(F.col("line")).alias("t")).where("size(t) > 0").select("t", F.transform("t", F.lower).alias("low"))
+    left = F.concat(F.array(F.lit("<BOL>")), F.slice("low", F.lit(1), F.size("low") - 1))
+    right = F.concat(F.slice("low", F.lit(2), F.size("low")), F.array(F.lit("<EOL>")))
+    around = low.select(F.explode(F.arrays_zip(F.col("t"), left.alias("left"), right.alias("right"))).alias("x")).select("x.*")  # three arrays, each built once
     counted = around.where(F.col("t").rlike(r"^\p{L}+$")).groupBy("left", "right", "t").agg(F.count("*").alias("c"))
     out = counted.groupBy("left", "right").agg(F.sum("c").alias("support"), F.count("*").alias("distinct_n"), F.max("c").alias("top_cnt"))
     return out.where((F.col("support") >= min_support) & (F.col("distinct_n") >= min_distinct) & (F.col("top_cnt") <= max_top * F.col("support")))
@@ -94,3 +91,37 @@ def storage_types(rows: DataFrame, columns: list[str]) -> DataFrame:
     )
     kind = F.when(F.col("numeric") & (F.col("d") == 1), "ALLSAME").when(~F.col("numeric") | F.col("zeros"), "MAPPING").when((F.col("n") > 100) & (F.col("w") >= 3), "NUMERIC_NODELTA").otherwise("NUMERIC_DELTA")
     return stats.select("col", kind.alias("type"))
+
+
+def dictionary_coded(lines: DataFrame, min_support: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Lines of at least min_support in their block as ids: rows with line (null where coded) and line_id, and entries (block_id, line_id, entry)."""
+    counted = lines.groupBy("block_id", "line").agg(F.count("*").alias("cnt")).where((F.col("cnt") >= min_support) & (F.octet_length("line") > 3))
+    order = Window.partitionBy("block_id").orderBy(F.desc(F.col("cnt") * F.octet_length("line")), "line")  # a block's repeated lines
+    entries = counted.select("block_id", "line", (F.row_number().over(order) - 1).cast("long").alias("line_id"))
+    coded = lines.join(entries, ["block_id", "line"], "left").withColumn("line", F.when(F.col("line_id").isNull(), F.col("line")))
+    return coded, entries.withColumnRenamed("line", "entry")
+
+
+def dictionary_expanded(coded: DataFrame, entries: DataFrame) -> DataFrame:
+    """The inverse of dictionary_coded. An id without an entry stays a null line."""
+    return coded.join(entries, ["block_id", "line_id"], "left").withColumn("line", F.coalesce("line", "entry")).drop("entry", "line_id")
+
+
+def template_coded(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines as template_id and pieces (their digit runs in order), and entries (block_id, template_id, around)."""
+    cut = lines.withColumn("pieces", F.regexp_extract_all("line", F.lit("[0-9]+"), F.lit(0))).withColumn("around", F.split("line", "[0-9]+", -1))
+    firsts = cut.groupBy("block_id", "around").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    entries = firsts.select("block_id", "around", F.row_number().over(Window.partitionBy("block_id").orderBy("first")).cast("long").alias("template_id"))
+    return cut.join(entries, ["block_id", "around"]).drop("line", "around"), entries
+
+
+def template_restored(coded: DataFrame, entries: DataFrame) -> DataFrame:
+    """The inverse of template_coded: a template's texts and a line's pieces in turn."""
+    line = F.array_join(F.zip_with("around", "pieces", lambda a, p: F.concat(a, F.coalesce(p, F.lit("")))), "")
+    return coded.join(entries, ["block_id", "template_id"]).withColumn("line", line).drop("around")
+
+
+def block_texts(docs: DataFrame, size: int) -> DataFrame:
+    """Texts of `size` consecutive ids joined by LF in order: block_id, raw. A block is bounded by its ids."""
+    each = docs.select(F.expr(f"doc_id div {size}").alias("block_id"), "doc_id", "text").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    return each.select("block_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").cast("binary").alias("raw"))

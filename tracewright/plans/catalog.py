@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.plans import adaptive_queries, relation_queries, report_queries, stream_queries, text_queries, value_queries  # noqa: F401
+from tracewright.plans import adaptive_queries, program_queries, relation_queries, report_queries, signature_queries, skeleton_queries, stream_queries, text_queries, value_queries  # noqa: F401
 from tracewright.plans.registry import QUERIES, SQL, Query
 
 

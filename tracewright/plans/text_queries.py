@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import tokens as T
 from tracewright.operators import extract, templates
 from tracewright.plans.registry import query, table
+from tracewright.sources import blocks
 
 LINES_SQL = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
 WORD_SQL = r"[^ \t\r\n\x0b\f]+"
@@ -130,10 +131,10 @@ def jaccard_pairs(spark, sf_dir):
     return templates.jaccard_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 0.2)
 
 
-@query("template_ids", f"""WITH {LINES_SQL}, masked AS (SELECT doc_id // 100 AS block_id, doc_id, line_no, regexp_replace(line, '[0-9]+', '<*>', 'g') AS template FROM lines), firsts AS (SELECT block_id, template, min(doc_id * 1000000 + line_no) AS pos0, count(*) AS cnt FROM masked WHERE template <> '' GROUP BY 1, 2)
+@query("template_ids", f"""WITH {LINES_SQL}, masked AS (SELECT doc_id // 100 AS block_id, doc_id, line_no, regexp_replace(line, '[0-9]+', '<*>', 'g') AS template FROM lines), firsts AS (SELECT block_id, template, min({{'d': doc_id, 'l': line_no}}) AS pos0, count(*) AS cnt FROM masked WHERE template <> '' GROUP BY 1, 2)
 SELECT block_id, row_number() OVER (PARTITION BY block_id ORDER BY pos0) AS template_id, cnt, length(template) AS len FROM firsts UNION ALL SELECT block_id, 0, count(*), 0 FROM masked WHERE template = '' GROUP BY 1""")
 def template_ids(spark, sf_dir):
-    numbered = lines(spark, sf_dir).select(F.expr("doc_id div 100").alias("block_id"), (F.col("doc_id") * 1000000 + F.col("line_no")).alias("pos"), F.regexp_replace("line", "[0-9]+", "<*>").alias("template"))
+    numbered = lines(spark, sf_dir).select(F.expr("doc_id div 100").alias("block_id"), F.struct("doc_id", "line_no").alias("pos"), F.regexp_replace("line", "[0-9]+", "<*>").alias("template"))
     return templates.template_dictionary(numbered).select("block_id", "template_id", "cnt", F.length("template").cast("long").alias("len"))
 
 
@@ -159,12 +160,14 @@ def plan_apply(spark, sf_dir):
     return occurrences.groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_n"))
 
 
-@query("restore_roundtrip", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS mismatches FROM pages")
+@query("restore_roundtrip", r"""WITH a AS (SELECT page_id, url, regexp_replace(url, '://[^/?#]+', '://' || chr(57344), 'g') AS u1 FROM pages), b AS (SELECT *, regexp_replace(u1, '/[a-z]{2}/', '/' || chr(57345) || '/', 'g') AS u2 FROM a)
+SELECT page_id, md5(regexp_replace(u2, '[0-9]+', chr(57346), 'g')) AS coded, md5(url) AS restored FROM b""")
 def restore_roundtrip(spark, sf_dir):
+    """Urls with placeholders and urls rebuilt from them and the stored values, by digest."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("line_no"), F.col("url").alias("text"))
     coded, occurrences = extract.apply_plan(pages, extract.URL_PLAN)
-    back = extract.restore_plan(coded, occurrences, extract.URL_PLAN).withColumnRenamed("text", "restored")
-    return pages.join(back, "line_no").agg(F.count("*").alias("n"), F.count_if(~F.col("text").eqNullSafe(F.col("restored"))).alias("mismatches"))
+    back = extract.restore_plan(coded, occurrences, extract.URL_PLAN).select("line_no", F.md5("text").alias("restored"))
+    return coded.select("line_no", F.md5("text").alias("coded")).join(back, "line_no").select(F.col("line_no").alias("page_id"), "coded", "restored")
 
 
 @query("span_overlap", r"""WITH a AS (SELECT page_id, regexp_extract(url, '^(.*?)(://[^/?#]+/[a-z]*)', 1) AS pre, regexp_extract(url, '(://[^/?#]+/[a-z]*)', 1) AS m FROM pages), b AS (SELECT page_id, regexp_extract(url, '^(.*?)(/[a-z]{2}/[0-9]+)', 1) AS pre, regexp_extract(url, '(/[a-z]{2}/[0-9]+)', 1) AS m FROM pages)
@@ -188,14 +191,15 @@ def id_grid_check(spark, sf_dir):
 
 @query("lzma_cost")
 def lzma_cost(spark, sf_dir):
-    from tracewright.sources import blocks
+    return blocks.archive_sizes(_numbered(spark, sf_dir))
 
-    return blocks.archive_sizes(lines(spark, sf_dir).select(F.expr("doc_id div 100").alias("block_id"), (F.col("doc_id") * 1000000 + F.col("line_no")).alias("pos"), "line"))
 
+def _numbered(spark, sf_dir):
+    return lines(spark, sf_dir).select(F.expr("doc_id div 100").alias("block_id"), F.struct("doc_id", "line_no").alias("pos"), "line")
 
-@query("block_archive_roundtrip", "SELECT doc_id // 100 AS block_id, true AS exact FROM documents GROUP BY 1")
-def block_archive_roundtrip(spark, sf_dir):
-    from tracewright.sources import blocks
 
-    records = lines(spark, sf_dir).select(F.expr("doc_id div 100").alias("block_id"), (F.col("doc_id") * 1000000 + F.col("line_no")).alias("pos"), "line")
-    return blocks.decoded(blocks.encoded(records)).select("block_id", "exact")
+@query("block_archive_roundtrip", "WITH b AS (SELECT doc_id // 100 AS block_id, string_agg(text, chr(10) ORDER BY doc_id) AS raw FROM documents GROUP BY 1) SELECT block_id, sha256(raw) AS digest, octet_length(encode(raw)) AS raw_bytes, true AS exact FROM b")
+def block_archive_roundtrip(spark, sf_dir):
+    """Blocks packed and unpacked: digest and size of what came back."""
+    back = blocks.decoded(blocks.encoded(_numbered(spark, sf_dir)))
+    return back.select("block_id", F.sha2("raw", 256).alias("digest"), F.octet_length("raw").cast("long").alias("raw_bytes"), "exact")
