@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tracewright.llm import shared, word_bpe
 
 CAPACITY, END_ID = 4096, 1
-CELL_ITEMS, ISLANDS, POPULATION, GENERATIONS = 5000, 3, 4, 24
+CELL_ITEMS, ISLANDS, POPULATION, GENERATIONS = 5000, 3, 4, 12
 #: A bin with more free room than this share of the capacity is opened at the next level. Where under SETTLED of a level's
 #: pieces are in bins that stay, the room is allowed fourfold, again until enough stay; all do where the room is the capacity.
 ROOM, SETTLED = 1 / 128, 1 / 4
