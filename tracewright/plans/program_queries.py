@@ -101,8 +101,8 @@ def percent_vs_baseline(spark, sf_dir):
     return m.join(F.broadcast(base)).select("method", F.round(100 * (F.col("v") / F.col("base") - 1), 6).alias("percent"))  # one row
 
 
-@query("operation_timings", "SELECT event_type AS op, round(sum(value), 4) AS seconds, count(*) AS n, round(1000 * sum(value) / count(*), 4) AS avg_ms, round(100 / sum(value), 6) AS mb_per_s FROM events GROUP BY 1")
-def operation_timings(spark, sf_dir):
+@query("timings_by_operation", "SELECT event_type AS op, round(sum(value), 4) AS seconds, count(*) AS n, round(1000 * sum(value) / count(*), 4) AS avg_ms, round(100 / sum(value), 6) AS mb_per_s FROM events GROUP BY 1")
+def timings_by_operation(spark, sf_dir):
     """Seconds and calls of every operation, with the speed over 100 MB."""
     total = F.sum("value")
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("op")).agg(F.round(total, 4).alias("seconds"), F.count("*").alias("n"), F.round(1000 * total / F.count("*"), 4).alias("avg_ms"), F.round(100 / total, 6).alias("mb_per_s"))
