@@ -17,7 +17,7 @@ FILTER_BITS = 1 << 28
 
 
 #: Rows and bytes of text that a Python worker is sent at once: texts are long, and several workers share an executor's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -38,7 +38,7 @@ WINDOW = MIN_WORDS - GRAM + 1
 #: Words of context on each side: what a match of MIN_WORDS can need beyond the gram.
 REACH = MIN_WORDS - GRAM
 #: Suffixes compared at once.
-CHUNK = 1 << 15
+CHUNK = 1 << 13
 
 
 def document_code(hashes: np.ndarray) -> bytes:
