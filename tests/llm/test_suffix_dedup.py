@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tracewright.llm import shared
 from tracewright.llm import suffix_dedup as sd
 
 M = sd.MIN_WORDS
@@ -115,3 +116,18 @@ def test_windows_that_neighbours_hide_are_few_and_found():
     assert covered[sd.REMOVED] <= later and later <= covered[sd.REMOVED] | opened
     assert covered[sd.KEPT] <= later | least and least <= covered[sd.KEPT] | opened
     assert len(opened) < len(later | least | unseen) / 4  # made to hide as many as can be
+
+
+def test_one_python_step_a_task(spark):
+    passage = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, f"{passage} end{i}") for i in range(6)], "doc_id long, text string")
+    plan = sd.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan  # a broadcast join would put two Python steps in a task
+
+
+def test_steps_give_memory_back(spark, monkeypatch):
+    called = []
+    monkeypatch.setattr(shared, "give_back", lambda: called.append(1))
+    assert list(shared.released(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4] and called == [1]
+    shared.bound_batches(spark)
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(shared.READER_ROWS)

@@ -199,7 +199,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
                         out.append((doc, i, s // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    cut = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(rows, "doc_id long, piece long, start long, length long, ids_crc32 long")
+    cut = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(shared.released(rows), "doc_id long, piece long, start long, length long, ids_crc32 long")
     return cut.withColumn("id", F.monotonically_increasing_id())
 
 

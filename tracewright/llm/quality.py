@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 flat, bounds = features(p.column(1))
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(2), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)), p.column(3)], names=["k", "y", "x", "h"])
 
-    got = picked.select("k", "t", "y", "h").mapInArrow(rows, "k long, y int, x array<int>, h long").toArrow()
+    got = picked.select("k", "t", "y", "h").mapInArrow(shared.released(rows), "k long, y int, x array<int>, h long").toArrow()
     keys = got.column("k").to_numpy()
     sort = np.lexsort((got.column("h").to_numpy(), keys))
     order = sort[np.unique(keys[sort], return_index=True)[1]]  # a repeated id is learned once, by its text of least hash
@@ -198,7 +198,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "sco
                 s = score_texts(p.column(p.schema.get_field_index(text)), m)
                 yield pa.RecordBatch.from_arrays([*p.columns, pa.array(s)], names=[*p.schema.names, column])
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(shared.released(rows), schema)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

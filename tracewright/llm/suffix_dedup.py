@@ -98,7 +98,7 @@ def _documents(docs: DataFrame, key: str, text: str) -> DataFrame:
                 )
 
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return chosen.mapInArrow(rows, "doc_id long, code binary, words long, at array<int>, gram array<long>")
+    return chosen.mapInArrow(shared.released(rows), "doc_id long, code binary, words long, at array<int>, gram array<long>")
 
 
 def _coded(h: np.ndarray) -> np.ndarray:
@@ -131,8 +131,9 @@ def _contexts(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["gram", "right", "left", "row", "doc_id", "at"])
 
     texts = shared.packed_texts(docs, wanted.select("doc_id"), key, text)
-    joined = wanted.join(texts, "doc_id").select("row", "doc_id", "code", "at", "packed")
-    return joined.mapInArrow(build, "gram long, right binary, left binary, row long, doc_id long, at long").distinct()
+    joined = wanted.join(texts.hint("merge"), "doc_id")  # both sides shuffled: not two Python steps in a task
+    joined = joined.select("row", "doc_id", "code", "at", "packed")
+    return joined.mapInArrow(shared.released(build), "gram long, right binary, left binary, row long, doc_id long, at long").distinct()
 
 
 def _unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,7 +258,7 @@ def _neighbours(sorted_suffixes: DataFrame) -> DataFrame:
         if rows:
             yield compared(pa.Table.from_batches(held), edge, True)
 
-    return sorted_suffixes.mapInArrow(scan, _FOUND)
+    return sorted_suffixes.mapInArrow(shared.released(scan), _FOUND)
 
 
 def _looked_up(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -285,7 +286,7 @@ def _looked_up(contexts: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(row[i]), pa.array(doc[i])], names=["h", "row", "doc_id"])
 
     holder = F.struct("doc_id", "row")
-    ends = contexts.mapInArrow(rows, "h long, row long, doc_id long").groupBy("h").agg(F.min(holder).alias("least"), F.max(holder).alias("most")).where("least <> most")
+    ends = contexts.mapInArrow(shared.released(rows), "h long, row long, doc_id long").groupBy("h").agg(F.min(holder).alias("least"), F.max(holder).alias("most")).where("least <> most")
     asked = wanted.select(F.col("last").alias("h"), "row", "first").join(ends, "h")
     return asked.select(F.when(F.col("row") == F.col("least.row"), KEPT).otherwise(REMOVED).alias("kind"), "row", "first", (F.col("first") + MIN_WORDS).alias("last"))
 
@@ -323,7 +324,7 @@ def _merged(spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=["row", "removed", "kept"])
 
     each = spans.groupBy("row").agg(F.collect_set(F.struct("kind", "first", "last")).alias("xs"))  # as many as a document has suffixes
-    return each.mapInArrow(rows, "row long, removed array<struct<first: long, last: long>>, kept array<struct<first: long, last: long>>")
+    return each.mapInArrow(shared.released(rows), "row long, removed array<struct<first: long, last: long>>, kept array<struct<first: long, last: long>>")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -369,7 +370,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     at, cut = shared.fresh(docs, "at", "cuts")
     spans = repeated_spans(docs, key, text).where("size(removed) > 0").groupBy(F.col("doc_id").alias(at)).agg(F.collect_list(F.struct("code", "removed")).alias(cut))  # one per text of an id
     maybe = shared.filter_of(spans.select(at), at)(F.col(key))  # only these rows are shuffled
-    joined = docs.where(maybe).withColumn(at, F.col(key).cast("long")).join(spans, at, "left").drop(at)
+    joined = docs.where(maybe).withColumn(at, F.col(key).cast("long")).join(spans.hint("merge"), at, "left").drop(at)
 
     def rows(batches):
         for b in batches:
@@ -390,7 +391,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             keep = [i for i in range(b.num_columns) if b.schema.names[i] != cut]
             yield pa.RecordBatch.from_arrays([texts if i == of else b.column(i) for i in keep], names=[b.schema.names[i] for i in keep])
 
-    return docs.where(~maybe).unionByName(joined.mapInArrow(rows, docs.schema))
+    return docs.where(~maybe).unionByName(joined.mapInArrow(shared.released(rows), docs.schema))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
