@@ -104,3 +104,13 @@ def test_descent_and_curve_match_a_plain_solver():
     t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
     gap = 1 / (1 + np.exp(-a * m - b)) - t
     assert abs(gap @ m) < 1e-3 and abs(gap.sum()) < 1e-3
+
+
+def test_training_gives_memory_back(spark, monkeypatch):
+    from tracewright.llm import quality as q
+
+    called = []
+    monkeypatch.setattr(q.shared, "give_back", lambda: called.append(1))
+    docs = spark.createDataFrame([(i, f"text of {i}") for i in range(12)], "doc_id long, text string")
+    q.train(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int"))
+    assert called == [1]

@@ -121,3 +121,12 @@ def test_masking_keeps_rows_columns_and_the_rest_of_the_text(spark):
     assert got[0] == "[SECRET] and token: abc" and got[12] == "\U0001f600 password=\U0001f600 [SECRET]"
     assert got[10] == "[SECRET]\n" * 700
     assert KEY not in got[6] and got[6].startswith(PROSE) and got[6].endswith(" " + PROSE)
+
+
+def test_masked_reads_its_rows_once_more_only(spark, tmp_path):
+    rows = [(i, "plain words" if i % 5 else f"token = abcdef{i} and words") for i in range(20)] + [(20, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    out = ss.masked(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/docs") == 1
+    assert {r.doc_id: r.text for r in out.collect()} == {i: t if t is None or i % 5 else "[SECRET] and words" for i, t in rows}

@@ -173,7 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sort = np.lexsort((got.column("h").to_numpy(), keys))
     order = sort[np.unique(keys[sort], return_index=True)[1]]  # a repeated id is learned once, by its text of least hash
     xs = got.column("x")
-    return fit([xs[int(i)].values.to_numpy() for i in order], got.column("y").to_numpy()[order])
+    model = fit([xs[int(i)].values.to_numpy() for i in order], got.column("y").to_numpy()[order])
+    del got, xs
+    shared.give_back()  # the driver's Python would keep what the fit has freed
+    return model
 
 
 def score_texts(column: pa.Array, model: Model) -> np.ndarray:

@@ -205,7 +205,7 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str =
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = " OR ".join(f"contains(lower(`{text}`), '{w}')" for w in NAMES)
     maybe = F.expr(f"coalesce({named} OR contains(`{text}`, 'AKIA') OR `{text}` RLIKE {_sql(HEX)} OR `{text}` RLIKE {_sql(RUN)}, false)")  # else no span
-    rows = docs.where(maybe).withColumn(h, F.md5(value))
+    rows = shared.staged(docs.where(maybe).withColumn(h, F.md5(value)), shared.work_folder(docs.sparkSession), "maybe")  # few: their texts are met again
     spans = scan(rows.select(h, text), h, text, "string").where("size(found) > 0").groupBy(F.col("doc_id").alias(h)).agg(F.first("found").alias(found))
     # merge: a span is kept as (s, e) where it starts after all ends before it; its end is that of the last it touches
     merged = f"""aggregate(`{found}`, CAST(array() AS array<struct<s: bigint, e: bigint>>), (acc, x) ->
