@@ -187,3 +187,17 @@ def test_shared_pools_settle_on_long_chains(spark):
     rows = [(n, f"v{i + d}") for i, n in enumerate(names) for d in (0, 1)] + [("t1", "w"), ("t2", "w"), ("u", "x")]
     got = {r.stream: (r.pool, r.pool_size) for r in relations.shared_pools(spark.createDataFrame(rows, "stream string, value string")).collect()}
     assert got == {**{n: ("s000", 41) for n in names}, "t1": ("t1", 1), "t2": ("t1", 1), "u": ("u", 1)}
+
+
+def test_short_streams_share_a_step(spark):
+    from tracewright.operators import skeletons
+
+    rng = random.Random(1)
+    rows = [(i // 50, rng.randrange(20), i, rng.choice(["a", "b", None])) for i in range(1000)]
+    ranked = skeletons.mtf_by(spark.createDataFrame(rows, "b long, u long, i long, v string"), "v", ["b", "u"], "i", 2)
+    assert "FlatMapGroups" not in ranked._jdf.queryExecution().toString()  # a call of Python for each stream
+    want = {}
+    for key in {r[:2] for r in rows}:
+        own = [r for r in rows if r[:2] == key]
+        want |= dict(zip([r[2] for r in own], S.move_to_front([r[3] for r in own], 2)))
+    assert {r.i: r["rank"] for r in ranked.collect()} == want

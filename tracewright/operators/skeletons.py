@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,14 +113,7 @@ def fixed_widths(rows: DataFrame, stream: str, pos: str, text: str) -> DataFrame
 
 def mtf_by(rows: DataFrame, v: str, keys: list[str], pos: str, size: int = 512) -> DataFrame:
     """Recency ranks with a table for every combination of keys: keys, pos, rank (0 for a value that isn't in the table)."""
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        return pdf[[*keys, pos]].assign(rank=np.array(S.move_to_front(pdf[v].tolist(), size), dtype=np.int64))
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, pos])
-    return rows.select(*keys, pos, v).groupBy(*keys).applyInPandas(rank, f"{schema}, rank long")
+    return S.mtf_ranks(rows, v, keys, pos, size)
 
 
 def mtf_deltas(rows: DataFrame, v: str, key: str, pos: str) -> DataFrame:

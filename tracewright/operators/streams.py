@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,20 +47,22 @@ def dictionary(rows: DataFrame, v: str, keys: list[str], pos: str) -> DataFrame:
     return firsts.withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("first_pos")).cast("long") - 1)
 
 
+def _moved(table: list, v, size: int) -> int:
+    """The rank of v in the table, to whose front it goes."""
+    try:
+        rank = table.index(v) + 1
+        del table[rank - 1]
+    except ValueError:
+        rank = 0
+    table.insert(0, v)
+    del table[size:]
+    return rank
+
+
 def move_to_front(values: list, size: int = 512) -> list[int]:
     """Recency rank from 1, 0 for a value that isn't in the table."""
     table: list = []
-    out = []
-    for v in values:
-        try:
-            i = table.index(v)
-            del table[i]
-            out.append(i + 1)
-        except ValueError:
-            out.append(0)
-        table.insert(0, v)
-        del table[size:]
-    return out
+    return [_moved(table, v, size) for v in values]
 
 
 def unmove_to_front(ranks: list[int], misses: list, size: int = 512) -> list:
@@ -72,15 +75,28 @@ def unmove_to_front(ranks: list[int], misses: list, size: int = 512) -> list:
     return out
 
 
-def mtf_ranks(rows: DataFrame, v: str, key: str, pos: str, size: int = 512) -> DataFrame:
-    """Recency rank of every row in its stream (key, pos, rank). Streams are blocks, so a group is bounded by the block."""
+def mtf_ranks(rows: DataFrame, v: str, keys: str | list[str], pos: str, size: int = 512) -> DataFrame:
+    """Recency rank of every row in its stream: keys, pos, rank.
+
+    The sorted streams of a partition pass one after another through one step, which holds a batch and a table: streams may be
+    of any length, and many short ones cost no more than a long one.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    n = len(keys)
 
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        return pd.DataFrame({key: pdf[key], pos: pdf[pos], "rank": np.array(move_to_front(pdf[v].tolist(), size), dtype=np.int64)})
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, table = None, []
+        for b in batches:
+            out = []
+            for k, x in zip(zip(*(b.column(i).to_pylist() for i in range(n))), b.column(n + 1).to_pylist()):
+                if k != at:
+                    at, table = k, []
+                out.append(_moved(table, x, size))
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.array(out, pa.int64())], names=[*keys, pos, "rank"])
 
     kinds = dict(rows.dtypes)
-    return rows.select(key, pos, v).groupBy(key).applyInPandas(rank, f"{key} {kinds[key]}, {pos} {kinds[pos]}, rank long")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, pos])
+    return rows.select(*keys, pos, v).repartition(*keys).sortWithinPartitions(*keys, pos).mapInArrow(rank, f"{schema}, rank long")
 
 
 def denum_key(text: Column) -> tuple[Column, Column]:
