@@ -44,3 +44,8 @@ def test_payloads_invert(spark):
         P.unvarints(b"\x80")
     rows = spark.createDataFrame([([1, 300, 5],), ([],)], "v array<long>")
     assert [r[0] for r in rows.select(P.from_varints(P.to_varints("v"))).collect()] == [[1, 300, 5], []]
+
+
+def test_sums_of_latents_pass_64_bits(spark):
+    rows = spark.createDataFrame([("9" * 18,)] * 12, "t string")
+    assert [tuple(r) for r in K.measured(rows, {"int_width": "t"}).collect()] == [("int_width", 12, 12, 12 * (10**18 - 1), 0)]

@@ -21,6 +21,8 @@ class Kind(NamedTuple):
     pattern: str
     forward: Callable[[Column], list[Column]]  #: latents of a matching text
     inverse: Callable[[list[Column]], Column]
+    taken: Callable[..., list[Column]]  #: latents of the groups of a match
+    groups: int
 
 
 def _long(c: Column) -> Column:
@@ -46,7 +48,12 @@ def _seconds(h: Column, m: Column, s: Column) -> Column:
 
 
 def _kind(name: str, pattern: str, n: int, forward: Callable[..., list[Column]], inverse: Callable[[list[Column]], Column]) -> Kind:
-    return Kind(name, f"^{pattern}$", lambda t: forward(*_groups(t, f"^{pattern}$", n)), inverse)
+    return Kind(name, f"^{pattern}$", lambda t: forward(*_groups(t, f"^{pattern}$", n)), inverse, forward, n)
+
+
+def _all_groups(text: Column, kind: Kind) -> Column:
+    """The groups of a matching text by one search; no pattern matches the separator."""
+    return F.split(F.regexp_replace(text, kind.pattern, "\x1f".join(f"${i + 1}" for i in range(kind.groups))), "\x1f", -1)
 
 
 def _octet_mask(parts: list[Column]) -> Column:
@@ -132,13 +139,14 @@ def decoded(rows: DataFrame, kind: Kind, column: str) -> DataFrame:
     return rows.withColumn(column, F.coalesce("exception", F.when(F.col("latents").isNotNull(), inverse)))
 
 
-AT_ONCE = 6
+AT_ONCE = 1
 
 
 def measured(texts: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Kinds over columns of texts: kind, n, exact (values held exactly), first (sum of their first latent), mismatches after the inverse.
 
-    A pass takes AT_ONCE kinds: the code of more doesn't compile into one method.
+    The sum is a decimal: milliseconds since 1970 of six million values pass 64 bits. A pass takes AT_ONCE kinds: methods
+    that hold the code of more are too long for the JVM to compile, and run interpreted.
     """
     chosen = [(i, k, columns[k.name]) for i, k in enumerate(KINDS) if k.name in columns]
     if len(chosen) > AT_ONCE:
@@ -146,12 +154,13 @@ def measured(texts: DataFrame, columns: dict[str, str]) -> DataFrame:
         passes = [measured(texts, {n: columns[n] for n in names[a : a + AT_ONCE]}) for a in range(0, len(names), AT_ONCE)]
         return reduce(DataFrame.unionByName, passes)
     texts = texts.select(*dict.fromkeys(c for _, _, c in chosen))
-    coded_ = texts.select("*", *[F.when(F.col(c).rlike(k.pattern), F.array(*[x.cast("long") for x in k.forward(F.col(c))])).alias(f"l{i}") for i, k, c in chosen])
+    cut = texts.select("*", *[F.when(F.col(c).rlike(k.pattern), _all_groups(F.col(c), k)).alias(f"g{i}") for i, k, c in chosen])  # once, for all latents
+    coded_ = cut.select("*", *[F.when(F.col(f"g{i}").isNotNull(), F.array(*[x.cast("long") for x in k.taken(*[F.get(f"g{i}", F.lit(j)) for j in range(k.groups)])])).alias(f"l{i}") for i, k, _ in chosen])
     back = coded_.select("*", *[k.inverse([F.get(f"l{i}", F.lit(j)) for j in range(len(k.forward(F.lit(""))))]).alias(f"b{i}") for i, k, _ in chosen])
     flags = back.select("*", *[F.coalesce(F.forall(f"l{i}", lambda x: x.isNotNull()) & (F.col(f"b{i}") == F.col(c)), F.lit(False)).alias(f"x{i}") for i, _, c in chosen])
     restored = lambda i, c: F.when(F.col(f"x{i}"), F.col(f"b{i}")).otherwise(F.col(c))
     sums = [
-        F.struct(F.lit(k.name).alias("kind"), F.count("*").alias("n"), F.count_if(f"x{i}").alias("exact"), F.sum(F.when(F.col(f"x{i}"), F.get(f"l{i}", F.lit(0)))).alias("first"), F.count_if(~restored(i, c).eqNullSafe(F.col(c))).alias("mismatches")).alias(f"s{i}")
+        F.struct(F.lit(k.name).alias("kind"), F.count("*").alias("n"), F.count_if(f"x{i}").alias("exact"), F.sum(F.when(F.col(f"x{i}"), F.get(f"l{i}", F.lit(0))).cast("decimal(20,0)")).alias("first"), F.count_if(~restored(i, c).eqNullSafe(F.col(c))).alias("mismatches")).alias(f"s{i}")
         for i, k, c in chosen
     ]
     return flags.agg(*sums).select(F.explode(F.array(*[F.col(f"s{i}") for i, _, _ in chosen])).alias("s")).select("s.*")
