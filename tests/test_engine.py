@@ -201,3 +201,16 @@ def test_short_streams_share_a_step(spark):
         own = [r for r in rows if r[:2] == key]
         want |= dict(zip([r[2] for r in own], S.move_to_front([r[3] for r in own], 2)))
     assert {r.i: r["rank"] for r in ranked.collect()} == want
+
+
+def test_long_streams_are_cut_in_parts(spark, monkeypatch):
+    from tracewright.operators import skeletons
+
+    rng = random.Random(2)
+    far = [("s", p, str(rng.randrange(10**6))) for p in [*rng.sample(range(10**4), 900), 10**15, -5, None]] + [("t", 7, "1"), ("t", 8, "22")]
+    rows = spark.createDataFrame(far, "stream string, pos long, text string")
+    whole = [df.orderBy("stream").collect() for df in (skeletons.fixed_widths(rows, "stream", "pos", "text"), skeletons.surrogate_gains(rows, "stream", "pos", "text", 100))]
+    monkeypatch.setattr(S, "PART_ROWS", 50)
+    sizes = S.in_parts(rows, "stream", "pos").groupBy("stream", "__part").count().collect()
+    assert sum(r["count"] for r in sizes) == len(far) and max(r["count"] for r in sizes) <= 150
+    assert whole == [df.orderBy("stream").collect() for df in (skeletons.fixed_widths(rows, "stream", "pos", "text"), skeletons.surrogate_gains(rows, "stream", "pos", "text", 100))]

@@ -104,10 +104,20 @@ def layout_deltas(rows: DataFrame, key: str, pos: str, text: str) -> DataFrame:
 
 
 def fixed_widths(rows: DataFrame, stream: str, pos: str, text: str) -> DataFrame:
-    """Streams of integers written with one width: stream, width (null where it varies), abs_bytes, delta_bytes."""
-    v = rows.select(stream, pos, F.col(text).try_cast("long").alias("v"), F.length(text).cast("long").alias("w"))
-    d = v.withColumn("d", S.delta("v", [stream], pos))
-    out = d.groupBy(stream).agg(F.min("w").alias("lo"), F.max("w").alias("hi"), F.sum(V.varint_length(F.col("v"))).alias("abs_bytes"), F.sum(V.varint_length(V.zigzag(F.col("d")))).alias("delta_bytes"))
+    """Streams of integers written with one width: stream, width (null where it varies), abs_bytes, delta_bytes.
+
+    Deltas are taken within parts of a stream; of each part its first and last values remain, for the deltas between parts.
+    """
+    v = S.in_parts(rows.select(stream, pos, F.col(text).try_cast("long").alias("v"), F.length(text).cast("long").alias("w")), stream, pos)
+    order = Window.partitionBy(stream, "__part").orderBy(pos, "v")
+    cost = lambda d: V.varint_length(V.zigzag(d))
+    d = v.withColumn("inner", F.when(F.row_number().over(order) > 1, cost(F.col("v") - F.lag("v").over(order))))
+    parts = d.groupBy(stream, "__part").agg(
+        F.min("w").alias("lo"), F.max("w").alias("hi"), F.sum(V.varint_length(F.col("v"))).alias("abs_bytes"), F.sum("inner").alias("inner"),
+        F.min(F.struct(pos, "v"))["v"].alias("first"), F.max(F.struct(pos, "v"))["v"].alias("last"),
+    )
+    led = parts.withColumn("between", cost(F.col("first") - F.lag("last", 1, 0).over(Window.partitionBy(stream).orderBy("__part"))))  # a row a part
+    out = led.groupBy(stream).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("abs_bytes").alias("abs_bytes"), F.sum(F.coalesce("inner", F.lit(0)) + F.col("between")).alias("delta_bytes"))
     return out.select(stream, F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("width"), "abs_bytes", "delta_bytes")
 
 
@@ -129,8 +139,17 @@ def merged_streams(rows: DataFrame, stream: str, pos: str, least: int = 64, text
 
 
 def surrogate_gains(rows: DataFrame, stream: str, pos: str, text: str, sample: int = 4096, model: int = 32) -> DataFrame:
-    """Cheap estimate of what a codec may save: stream, sampled, gain. A systematic sample of each stream: it is the feature."""
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy(stream).orderBy(pos)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(stream)))
+    """Cheap estimate of what a codec may save: stream, sampled, gain. A systematic sample of each stream: it is the feature.
+
+    Rows are numbered within parts of their stream, from the number of rows before the part.
+    """
+    cut = S.in_parts(rows, stream, pos)
+    parts = cut.groupBy(F.col(stream).alias("__s"), F.col("__part").alias("__q")).agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("__s").orderBy("__q")  # a row a part
+    before = F.coalesce(F.sum("c").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.select("__s", "__q", before.alias("before"), F.sum("c").over(Window.partitionBy("__s")).alias("n"))
+    met = cut.join(F.broadcast(placed), F.col(stream).eqNullSafe(F.col("__s")) & F.col("__part").eqNullSafe(F.col("__q")))
+    numbered = met.withColumn("i", F.row_number().over(Window.partitionBy(stream, "__part").orderBy(pos)) - 1 + F.col("before"))
     step = F.greatest(F.lit(1), F.floor(F.col("n") / sample))
     some = numbered.where((F.col("i") % step == 0) & (F.floor(F.col("i") / step) < sample))
     number = F.when(F.col(text).rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.regexp_replace(text, r"\.", "").try_cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,28 @@ def ordered(keys: list[str], pos: str) -> Window:
     return Window.partitionBy(*keys).orderBy(pos)
 
 
+#: Rows of a stream that one window holds, where positions are spread evenly.
+PART_ROWS = 20000
+
+
+def in_parts(rows: DataFrame, stream: str, pos: str) -> DataFrame:
+    """Adds __part, by which long streams are cut along their order: no window needs more than a part, and parts follow each other as they sort.
+
+    A part is a function of an integer position and of exact counts and bounds, so that every evaluation cuts alike. The second
+    round cuts each part of the first by its own bounds, for positions that lie together. Bounds are a row a part.
+    """
+
+    def cut(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+        x = F.col(pos).cast("double")
+        bounds = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.ceil(F.count("*") / PART_ROWS).alias("__k"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        met = df.join(F.broadcast(bounds), same)
+        return met.withColumn(out, F.floor((x - F.col("__lo")) * F.col("__k") / (F.col("__hi") - F.col("__lo") + 1))).drop("__k", "__lo", "__hi", *[f"__{k}" for k in keys])
+
+    twice = cut(cut(rows, [stream], "__p1"), [stream, "__p1"], "__p2")
+    return twice.withColumn("__part", F.struct("__p1", "__p2")).drop("__p1", "__p2")
+
+
 def delta(v: str, keys: list[str], pos: str) -> Column:
     """First value as it is, then differences."""
     return F.col(v) - F.lag(v, 1, 0).over(ordered(keys, pos))
