@@ -214,3 +214,9 @@ def test_long_streams_are_cut_in_parts(spark, monkeypatch):
     sizes = S.in_parts(rows, "stream", "pos").groupBy("stream", "__part").count().collect()
     assert sum(r["count"] for r in sizes) == len(far) and max(r["count"] for r in sizes) <= 150
     assert whole == [df.orderBy("stream").collect() for df in (skeletons.fixed_widths(rows, "stream", "pos", "text"), skeletons.surrogate_gains(rows, "stream", "pos", "text", 100))]
+
+
+def test_variable_tokens_are_counted_in_their_lines(spark):
+    routed = extract.routed_tokens(spark.createDataFrame([("12 a 123 7 <b> x=1 44",), ("",), ("a 123",), ("555",)], "line string"))
+    assert "Window" not in routed._jdf.queryExecution().toString()  # it sorted all tokens by their line
+    assert sorted(map(tuple, routed.collect())) == [("12", "LEN2", 1), ("123", r"CTXa|STR\d{3}|IDX2", 1), ("123", r"CTXa|STR\d{3}|IDX3", 1), ("44", "LEN2", 1), ("555", r"CTX|STR\d{3}|IDX1", 1), ("7", "LEN1", 1), ("x=1", "CTX<b>|STR_=", 1)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import signatures as G
@@ -117,19 +117,28 @@ def overlap_pairs(spans: DataFrame, key: str = "line_no", rule: str = "rule", sh
 
 
 def routed_tokens(lines: DataFrame) -> DataFrame:
-    """Variable tokens of lines with the tag of their stream: (t, tag). A token is variable where it has a digit or a special character.
+    """Variable tokens of lines by the tag of their stream: t, tag, cnt. A token is variable where it has a digit or a special character.
 
     Integers of one or two digits go by length; longer ones by the last other token before them in the line, their length and
     their place; mixed ones by that token and their special characters.
+
+    A line is cut at its other tokens, and each run of variable ones between two takes the first as its context: no token
+    leaves its line before it is counted.
     """
-    numbered = lines.select("line").withColumn("row", F.monotonically_increasing_id())  # before lines are taken apart
-    words = numbered.select("row", F.posexplode(T.words(F.col("line"))).alias("p", "t"))
-    marked = words.withColumn("v", F.col("t").rlike("[0-9]") | F.col("t").rlike("[^0-9A-Za-z<>]"))
-    before = Window.partitionBy("row").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one line
-    each = marked.withColumn("ctx", F.coalesce(F.last(F.when(~F.col("v"), F.col("t")), ignorenulls=True).over(before), F.lit(""))).where("v")
-    t, ctx = F.col("t"), F.concat(F.lit("CTX"), F.col("ctx"), F.lit("|STR"))
+    words = lines.select(T.words(F.col("line")).alias("w"))
+    stable = F.filter(F.transform("w", lambda t, i: F.when(~t.rlike("[^A-Za-z<>]"), i + 1)), lambda i: i.isNotNull())
+    found = words.select("w", stable.alias("at"))
+    ends = F.concat("at", F.array(F.size("w") + 1))
+    gaps = F.filter(F.zip_with(F.concat(F.array(F.lit(0)), "at"), ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["b"] - x["a"] > 1)
+    runs = F.transform(gaps, lambda x: F.struct(F.when(x["a"] > 0, F.get("w", x["a"] - 1)).otherwise("").alias("ctx"), x["a"].alias("a"), F.slice("w", x["a"] + 1, x["b"] - x["a"] - 1).alias("run")))
+    each = found.select(F.explode(runs).alias("x")).select("x.ctx", "x.a", F.posexplode("x.run").alias("i", "t"))
+    t = F.col("t")
+    short, pure = t.rlike("^[0-9]{1,2}$"), t.rlike("^[0-9]+$")
+    keyed = each.select("t", F.when(short, "").otherwise(F.col("ctx")).alias("ctx"), F.when(pure & ~short, F.col("a") + F.col("i") + 1).alias("p"))
+    counted = keyed.groupBy("t", "ctx", "p").agg(F.count("*").alias("c"))
+    ctx = F.concat(F.lit("CTX"), F.col("ctx"), F.lit("|STR"))
     tag = (
-        F.when(t.rlike("^[0-9]{1,2}$"), F.concat(F.lit("LEN"), F.length(t).cast("string"))).when(t.rlike("^[0-9]+$"), F.concat(ctx, G.regex_tag(t), F.lit("|IDX"), (F.col("p") + 1).cast("string")))
+        F.when(short, F.concat(F.lit("LEN"), F.length(t).cast("string"))).when(pure, F.concat(ctx, G.regex_tag(t), F.lit("|IDX"), F.col("p").cast("string")))
         .otherwise(F.concat(ctx, F.lit("_"), G.special_characters(t)))
     )
-    return each.select("t", tag.alias("tag"))
+    return counted.groupBy("t", tag.alias("tag")).agg(F.sum("c").alias("cnt"))

@@ -134,4 +134,4 @@ f AS (SELECT *, regexp_matches(t, '[0-9]') OR regexp_matches(t, '[^0-9A-Za-z<>]'
 SELECT CASE WHEN pure AND length(t) <= 2 THEN 'LEN' || length(t) WHEN pure THEN 'CTX' || ctx || '|STR\d{{' || length(t) || '}}|IDX' || p ELSE 'CTX' || ctx || '|STR_' || regexp_replace(t, '[^\x00-\x7f]|[0-9A-Za-z \t-\r]', '', 'g') END AS tag, count(*) AS cnt, count(DISTINCT t) AS distinct_n FROM c WHERE variable GROUP BY 1""")
 def token_routes(spark, sf_dir):
     """Streams that variable tokens of a line go to: short integers by length, others by the last word before them."""
-    return extract.routed_tokens(lines(spark, sf_dir)).groupBy("tag").agg(F.count("*").alias("cnt"), F.countDistinct("t").alias("distinct_n"))
+    return extract.routed_tokens(lines(spark, sf_dir)).groupBy("tag").agg(F.sum("cnt").alias("cnt"), F.count("*").alias("distinct_n"))
