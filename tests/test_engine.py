@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,3 +221,26 @@ def test_variable_tokens_are_counted_in_their_lines(spark):
     routed = extract.routed_tokens(spark.createDataFrame([("12 a 123 7 <b> x=1 44",), ("",), ("a 123",), ("555",)], "line string"))
     assert "Window" not in routed._jdf.queryExecution().toString()  # it sorted all tokens by their line
     assert sorted(map(tuple, routed.collect())) == [("12", "LEN2", 1), ("123", r"CTXa|STR\d{3}|IDX2", 1), ("123", r"CTXa|STR\d{3}|IDX3", 1), ("44", "LEN2", 1), ("555", r"CTX|STR\d{3}|IDX1", 1), ("7", "LEN1", 1), ("x=1", "CTX<b>|STR_=", 1)]
+
+
+def test_codecs_hold_few_blocks_at_once(spark):
+    from tracewright.sources import sinks
+
+    before = spark.conf.get(sinks._BATCH)
+    try:
+        spark.conf.set(sinks._BATCH, 1 << 28)
+        blocks_ = spark.range(0, 40, 1, 1).selectExpr("id AS block_id", "CAST(repeat('x', 1000000) AS binary) AS raw")
+        packed = sinks.chunks(blocks_, ("none",))
+        assert int(spark.conf.get(sinks._BATCH)) == sinks.BATCH_BYTES
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"rows": [b.num_rows]})
+
+        assert max(r.rows for r in packed.select("payload").mapInArrow(sizes, "rows long").collect()) <= 6
+        assert sinks.unpacked(packed).where("exact").count() == 40
+        spark.conf.set(sinks._BATCH, 1000)
+        sinks.unpacked(packed)
+        assert spark.conf.get(sinks._BATCH) == "1000"
+    finally:
+        spark.conf.set(sinks._BATCH, before)

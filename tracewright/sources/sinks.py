@@ -84,17 +84,32 @@ def block_range(records: DataFrame, first: int, last: int, block: str = "block_i
     return records.where((F.col(block) >= first) & (F.col(block) < last))
 
 
+#: Bytes of blocks that a Python worker is sent at once; a larger block goes alone.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bounded(blocks: DataFrame) -> DataFrame:
+    """Batches go by bytes, not by rows alone, of which ten thousand blocks would make one. A session's own lower bound, in plain bytes, stays."""
+    conf = blocks.sparkSession.conf
+    now = conf.get(_BATCH).lower().removesuffix("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        conf.set(_BATCH, BATCH_BYTES)
+    return blocks
+
+
 def chunks(blocks: DataFrame, codecs: tuple[str, ...] = tuple(CODECS)) -> DataFrame:
     """Every block (block_id, raw binary) by every codec: block_id, codec, raw_bytes, packed_bytes, raw_sha256, payload. No shuffle."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for b, raw in zip(pdf["block_id"], pdf["raw"]):
-                packed = [CODECS[c][0](raw) for c in codecs]
                 digest = hashlib.sha256(raw).hexdigest()
-                yield pd.DataFrame({"block_id": b, "codec": codecs, "raw_bytes": len(raw), "packed_bytes": [len(p) for p in packed], "raw_sha256": digest, "payload": packed})
+                for c in codecs:
+                    packed = CODECS[c][0](raw)
+                    yield pd.DataFrame({"block_id": [b], "codec": [c], "raw_bytes": [len(raw)], "packed_bytes": [len(packed)], "raw_sha256": [digest], "payload": [packed]})
 
-    return blocks.select("block_id", "raw").mapInPandas(pack, "block_id long, codec string, raw_bytes long, packed_bytes long, raw_sha256 string, payload binary")
+    return _bounded(blocks).select("block_id", "raw").mapInPandas(pack, "block_id long, codec string, raw_bytes long, packed_bytes long, raw_sha256 string, payload binary")
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
@@ -102,11 +117,11 @@ def unpacked(packed: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            raw = [CODECS[c][1](p) for c, p in zip(pdf["codec"], pdf["payload"])]
-            exact = [hashlib.sha256(r).hexdigest() == h for r, h in zip(raw, pdf["raw_sha256"])]
-            yield pd.DataFrame({"block_id": pdf["block_id"], "codec": pdf["codec"], "raw": raw, "exact": exact})
+            for b, c, p, h in zip(pdf["block_id"], pdf["codec"], pdf["payload"], pdf["raw_sha256"]):
+                raw = CODECS[c][1](p)  # a payload's batch may be far larger unpacked
+                yield pd.DataFrame({"block_id": [b], "codec": [c], "raw": [raw], "exact": [hashlib.sha256(raw).hexdigest() == h]})
 
-    return packed.select("block_id", "codec", "payload", "raw_sha256").mapInPandas(unpack, "block_id long, codec string, raw binary, exact boolean")
+    return _bounded(packed).select("block_id", "codec", "payload", "raw_sha256").mapInPandas(unpack, "block_id long, codec string, raw binary, exact boolean")
 
 
 def inventory(packed: DataFrame) -> DataFrame:
