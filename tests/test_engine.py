@@ -223,6 +223,13 @@ def test_variable_tokens_are_counted_in_their_lines(spark):
     assert sorted(map(tuple, routed.collect())) == [("12", "LEN2", 1), ("123", r"CTXa|STR\d{3}|IDX2", 1), ("123", r"CTXa|STR\d{3}|IDX3", 1), ("44", "LEN2", 1), ("555", r"CTX|STR\d{3}|IDX1", 1), ("7", "LEN1", 1), ("x=1", "CTX<b>|STR_=", 1)]
 
 
+def test_signatures_look_at_distinct_tokens(spark):
+    from tracewright.plans import signature_queries
+
+    plan = signature_queries.context_signatures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
+
+
 def test_codecs_hold_few_blocks_at_once(spark):
     from tracewright.sources import sinks
 

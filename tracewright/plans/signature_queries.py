@@ -108,7 +108,8 @@ ALL_SQL = rf"{WORD_SQL}|[ \t\r\n\x0b\f]+"
 def context_signatures(spark, sf_dir):
     """Signatures of lossless tokens by their position in the line."""
     tok = lines(spark, sf_dir).select(F.posexplode(T.lossless_tokens(F.col("line"))).alias("p", "t"))
-    return tok.groupBy(G.position_bucket(F.col("p")).cast("long").alias("bucket"), G.context_signature(F.col("t")).alias("signature")).agg(F.count("*").alias("cnt"))
+    counted = tok.groupBy(G.position_bucket(F.col("p")).cast("long").alias("bucket"), "t").agg(F.count("*").alias("c"))  # each distinct token is looked at once
+    return counted.groupBy("bucket", G.context_signature(F.col("t")).alias("signature")).agg(F.sum("c").alias("cnt"))
 
 
 @query("slot_templates", f"""WITH {LINES_SQL}, tok AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{ALL_SQL}')) AS t, generate_subscripts(regexp_extract_all(line, '{ALL_SQL}'), 1) AS p FROM lines WHERE line <> ''), s AS (SELECT *, {SHAPE_CLASS_SQL} AS shape FROM tok),
