@@ -251,3 +251,15 @@ def test_codecs_hold_few_blocks_at_once(spark):
         assert spark.conf.get(sinks._BATCH) == "1000"
     finally:
         spark.conf.set(sinks._BATCH, before)
+
+
+def test_slot_templates_find_a_shape_once(spark):
+    from tracewright.functions import signatures as G
+
+    odd = ["a  b", "Word, x1\t deadbeef 12.5", "deadbeefdeadbeef cafe\u0085 \u00c9t\u00e9, [z^{`@", "", " ", "abcdefghijklmnopq " + "x" * 40 + "-1", "ABCDEFAB 1a 0- \u0661\u00b2 \ue000"]
+    rows = spark.createDataFrame([(v,) for v in odd], "line string")
+    plain = F.array_join(F.transform(T.lossless_tokens(F.col("line")), lambda t: F.concat(T.shape_class(t), F.lit(":"), G.context_signature(t))), G.UNIT)
+    got = rows.select("line", G.slot_template_key(F.col("line")).alias("a"), F.when(F.col("line") == "", "[EMPTY]").otherwise(plain).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and any("A4|S1" in r.a for r in got)
+    plan = rows.select(G.slot_template_key(F.col("line")).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[.,:/-]") == 1  # the pattern of numbers; it stood there for each use of the shape

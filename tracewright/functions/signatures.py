@@ -103,11 +103,17 @@ def transducer_key(line: Column) -> Column:
     return F.array_join(F.transform(T.words(line), one), UNIT)
 
 
-def context_signature(token: Column) -> Column:
+def _run_kind(run: Column) -> Column:
+    """A for a run of letters, D for one of digits, else S. Beyond ASCII only a pattern tells letters; before it, the order of characters does."""
+    ascii_ = F.when(run < "0", "S").when(run < ":", "D").when(run < "A", "S").when(run < "[", "A").when(run < "a", "S").when(run < "{", "A")
+    return ascii_.when(run.rlike(r"^\p{L}"), "A").otherwise("S")
+
+
+def context_signature(token: Column, shape: Column | None = None) -> Column:
     """Short words in small letters, [HEX], [NUM:pattern], [NL], [WS], or runs of letters, digits and others as [SIG:A3|S1]."""
-    shape = T.shape_class(token)
+    shape = T.shape_class(token) if shape is None else shape
     runs = F.regexp_extract_all(F.substring(token, 1, 32), F.lit(r"\p{L}+|[0-9]+|[^0-9\p{L}]+"), F.lit(0))
-    coded = F.transform(runs, lambda x: F.concat(F.when(x.rlike(r"^\p{L}"), "A").when(x.rlike("^[0-9]"), "D").otherwise("S"), F.length(x).cast("string")))
+    coded = F.transform(runs, lambda x: F.concat(_run_kind(x), F.length(x).cast("string")))
     return (
         F.when((shape == "WORD") & (F.length(token) <= 16), F.lower(token)).when(shape == "HEX", "[HEX]").when(shape == "NUMERIC", F.concat(F.lit("[NUM:"), T.numeric_pattern(token), F.lit("]")))
         .when(shape == "WS", F.when(token.contains("\n"), "[NL]").otherwise("[WS]")).otherwise(F.concat(F.lit("[SIG:"), F.array_join(coded, "|"), F.lit("]")))
@@ -119,8 +125,14 @@ def position_bucket(position: Column, most: int = 15) -> Column:
 
 
 def slot_template_key(line: Column) -> Column:
-    """Shape and signature of every lossless token; [EMPTY] for an empty line."""
-    parts = F.transform(T.lossless_tokens(line), lambda t: F.concat(T.shape_class(t), F.lit(":"), context_signature(t)))
+    """Shape and signature of every lossless token; [EMPTY] for an empty line.
+
+    Single spaces and short words, most tokens, are told by one comparison and one pattern; the shape of others is found once.
+    """
+    word = lambda t: t.rlike(r"^\p{L}{1,16}\z") & ~(F.length(t).isin(*T.HEX_LENGTHS) & t.rlike("^[a-fA-F]+$"))
+    shaped = F.transform(T.lossless_tokens(line), lambda t: F.struct(t.alias("t"), F.when(t == " ", "_").when(word(t), "W").otherwise(T.shape_class(t)).alias("s")))
+    full = lambda x: F.concat(x["s"], F.lit(":"), context_signature(x["t"], x["s"]))
+    parts = F.transform(shaped, lambda x: F.when(x["s"] == "_", "WS:[WS]").when(x["s"] == "W", F.concat(F.lit("WORD:"), F.lower(x["t"]))).otherwise(full(x)))
     return F.when(line == "", "[EMPTY]").otherwise(F.array_join(parts, UNIT))
 
 

@@ -51,9 +51,12 @@ def delimited_tokens(text: Column) -> Column:
     return _runs(text, _DELIMITERS + "|" + _DELIMITERS.replace("[", "[^", 1) + "+")
 
 
+HEX_LENGTHS = (8, 12, 16, 32)
+
+
 def shape_class(token: Column) -> Column:
     """WS, HEX, NUMERIC, WORD, MIXED or OTHER, the first that fits."""
-    hexes = token.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") | (F.length(token).isin(8, 12, 16, 32) & token.rlike("^[0-9a-fA-F]+$"))
+    hexes = token.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") | (F.length(token).isin(*HEX_LENGTHS) & token.rlike("^[0-9a-fA-F]+$"))
     return (
         F.when(token.rlike(r"^[ \t\r\n\x0b\f]+$"), "WS").when(hexes, "HEX").when(token.rlike("^[0-9]+([.,:/-][0-9]+)*$"), "NUMERIC")
         .when(token.rlike(r"^\p{L}+$"), "WORD").when(token.rlike(r"\p{L}") & token.rlike("[0-9]"), "MIXED").otherwise("OTHER")
