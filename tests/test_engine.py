@@ -263,3 +263,9 @@ def test_slot_templates_find_a_shape_once(spark):
     assert all(r.a == r.b for r in got) and any("A4|S1" in r.a for r in got)
     plan = rows.select(G.slot_template_key(F.col("line")).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[.,:/-]") == 1  # the pattern of numbers; it stood there for each use of the shape
+
+
+def test_words_are_cut_once_for_contexts(spark):
+    plan = templates.alpha_contexts(spark.createDataFrame([("a b",), ("",)], "line string"), 1, 1, 1.0)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r.left, r.right) for r in plan.collect()) == [("<BOL>", "b"), ("a", "<EOL>")]

@@ -38,8 +38,8 @@ def family_examples(lines: DataFrame, per_family: int, distance: float) -> DataF
 
 def alpha_contexts(lines: DataFrame, min_support: int, min_distinct: int, max_top: float) -> DataFrame:
     """Contexts (left and right neighbour) whose letter tokens vary: support, distinct_n, top_cnt."""
-    low = lines.select(T.words(F.col("line")).alias("t")).where("size(t) > 0").select("t", F.transform("t", F.lower).alias("low"))
-    left = F.concat(F.array(F.lit("<BOL>")), F.slice("low", F.lit(1), F.size("low") - 1))
+    low = lines.select(T.words(F.col("line")).alias("t")).select("t", F.transform("t", F.lower).alias("low"))
+    left = F.concat(F.array(F.lit("<BOL>")), F.slice("low", F.lit(1), F.greatest(F.size("low") - 1, F.lit(0))))
     right = F.concat(F.slice("low", F.lit(2), F.size("low")), F.array(F.lit("<EOL>")))
     around = low.select(F.explode(F.arrays_zip(F.col("t"), left.alias("left"), right.alias("right"))).alias("x")).select("x.*")  # three arrays, each built once
     counted = around.where(F.col("t").rlike(r"^\p{L}+$")).groupBy("left", "right", "t").agg(F.count("*").alias("c"))
